@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from trailspark.llm import decontaminate, gif, licenses, mixing, pii, secrets, tokens, toxicity
+from trailspark.llm import decontaminate, gif, licenses, mixing, pii, secrets, substring, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 3000 + "a" * 70_000
@@ -233,3 +233,27 @@ def test_mixing(spark, docs):
     assert sorted((r["doc_id"], r["times"]) for r in got) == sorted((r["doc_id"], r["times"]) for r in mixing.mix(docs).collect())
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.targets([("a", 10), ("b", 1), (None, 0)]) == {"a": 8.0, "b": 3.0, None: 0.0}
+
+
+def test_substring(spark, docs, rows):
+    want = brute.op6(rows)
+    names = ("n_words", "n_removed", "kept_sha256")
+    assert keyed(substring.digest(substring.dedup(docs)), *names) == want
+    # many buckets, and two batches against the runs of the index
+    assert keyed(substring.digest(substring.dedup(docs, bucket_bytes=50_000)), *names) == want
+    index = substring.FingerprintIndex(spark, 7, fan_in=2)
+    got = {}
+    for part in (docs.where("doc_id < 60"), docs.where("doc_id >= 60 and doc_id < 130"), docs.where("doc_id >= 130 and doc_id < 10005"), docs.where("doc_id >= 10005")):
+        got |= keyed(substring.digest(index.dedup(part)), *names)
+    assert got == want and len(index.runs) <= 2
+    assert substring.dedup(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(None, "a " * 20), (2, "a " * 20), (1, "a " * 20), (1, "b " * 20), (3, None), (2, "a " * 20)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.dedup(twice).collect()) == [(0, 20, 0), (1, 20, 0), (1, 20, 0), (2, 20, 20), (2, 20, 20), (3, 0, 0)]
+
+
+def test_places_round_trip():
+    rng = np.random.default_rng(3)
+    counts = np.array([3, 1, 4])
+    at = np.concatenate([np.sort(rng.choice(1_000_000, n, replace=False)) for n in counts])
+    first = np.cumsum(counts) - counts
+    assert (substring._places(substring._gaps(at, first), counts) == at).all()

@@ -175,3 +175,38 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES
             to = min(to, b.num_rows)
             yield b.slice(at, to - at)
             at = to
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows, small batches gathered up to about ``most`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in slices(batches, text, most):
+        held.append(b)
+        size += b.column(text).nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def pack(x: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(x, dtype=kind).tobytes()
+
+
+def unpack(x: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x), dtype=kind)
+
+
+def spread(doc: np.ndarray, n: int) -> np.ndarray:
+    """A bucket below n for each document id."""
+    return (mix(doc.astype(np.int64).view(_U) + _U(0x51)) % _U(n)).astype(np.int64)
+
+
+def groups(x: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of equal neighbours."""
+    if not len(x):
+        return []
+    cut = np.append(0, np.flatnonzero(x[1:] != x[:-1]) + 1)
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(x)], strict=True))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, licenses, mixing, pii, secrets, tokens, toxicity
+from . import decontaminate, gif, licenses, mixing, pii, secrets, substring, tokens, toxicity
 from ._store import read
 
 
@@ -27,6 +27,10 @@ def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.features(gif.to_media(read(spark, sf_dir, "documents"))).drop("n_frames", "duration_cs", "histogram")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup(read(spark, sf_dir, "documents")))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find(read(spark, sf_dir, "documents")))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op7_licenses, op8_toxicity, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op6_substring_dedup, op7_licenses, op8_toxicity, op9_secrets, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}
