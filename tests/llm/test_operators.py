@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from trailspark.llm import decontaminate, gif, licenses, mixing, pii, secrets, substring, tokens, toxicity
+from trailspark.llm import decontaminate, gif, licenses, mixing, ngram_join, pii, secrets, substring, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 3000 + "a" * 70_000
@@ -257,3 +257,62 @@ def test_places_round_trip():
     at = np.concatenate([np.sort(rng.choice(1_000_000, n, replace=False)) for n in counts])
     first = np.cumsum(counts) - counts
     assert (substring._places(substring._gaps(at, first), counts) == at).all()
+
+
+def near_copies(seed=5, groups=12):
+    rng = np.random.default_rng(seed)
+    out, n = [], 20_000
+    for _ in range(groups):
+        base = rng.integers(0, 60, int(rng.integers(4, 160))).tolist()
+        for _ in range(int(rng.integers(1, 30))):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(0, len(w)))] = int(rng.integers(0, 90))
+            w = w[: len(w) - int(rng.integers(0, 3))] + rng.integers(0, 60, int(rng.integers(0, 4))).tolist()
+            out.append((n, " ".join(f"w{x}" if x % 3 else f"W{x}" for x in w)))
+            n += 1
+    return out
+
+
+def test_ngram_join(spark, docs, rows):
+    made = near_copies()
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    want = brute.op1(rows + made)
+    names = ("n_shingles", "component_id")
+    assert len({c for _, c in want.values()}) < len(want)
+    assert keyed(ngram_join.jaccard_components(both), *names) == want
+    # several buckets, and blocks cut into tile pairs
+    assert keyed(ngram_join.jaccard_components(both, bucket=20_000, tile_docs=3, tile_shingles=400), *names) == want
+    assert ngram_join.jaccard_components(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (3, "A B C"), (3, "x y z"), (9, "x y z"), (5, "a b c"), (7, None), (8, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd).collect())
+    assert got == [(0, 1, None), (3, 1, 3), (3, 1, 3), (5, 1, 3), (5, 1, 3), (7, 0, 7), (8, 0, 8), (9, 1, 3)]
+
+
+def test_bitmap_bound():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 200)), dtype=np.uint64)) for _ in range(40)]
+    bits = ngram_join.bitmaps(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x = len(np.intersect1d(a, b))
+            assert ngram_join.overlap(a, b) == x <= (len(a) + len(b) - int(np.bitwise_count(bits[i] ^ bits[j]).sum())) // 2
+
+
+def test_components(spark):
+    from trailspark.llm.components import components
+
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in list(parent) if root(x) != x}
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want

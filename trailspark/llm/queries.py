@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, licenses, mixing, pii, secrets, substring, tokens, toxicity
+from . import decontaminate, gif, licenses, mixing, ngram_join, pii, secrets, substring, tokens, toxicity
 from ._store import read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op6_substring_dedup, op7_licenses, op8_toxicity, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op6_substring_dedup, op7_licenses, op8_toxicity, op9_secrets, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}
