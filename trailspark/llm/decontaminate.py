@@ -157,24 +157,47 @@ _HIT = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 SCHEMA = "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, item_ids array<string>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, hits (merged word spans that item windows cover) and item_ids (sorted)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts, several = [], False
+def _indexes(d: DataFrame, benchmark: DataFrame, k: int, slice_bytes: int, item_id: str, item_text: str) -> Iterator[tuple[WindowIndex, bool]]:
+    """(index, whether there are several) of each slice."""
     todo = benchmark_slices(benchmark, item_id, item_text, slice_bytes)
-    part = next(todo, [])
+    part, several = next(todo, []), False
     while part is not None:
         following = next(todo, None)
         several |= following is not None
         index = WindowIndex(part, k)
         index.order(_frequency(d, index))
-        parts.append(_search(d, index, several))
+        yield index, several
         part = following
-    if len(parts) == 1:
-        return parts[0].drop("text_key")
-    return _merge(parts)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, hits (merged word spans that item windows cover) and item_ids (sorted)."""
+    small_batches(docs.sparkSession)
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = [_search(d, index, several) for index, several in _indexes(d, benchmark, k, slice_bytes, item_id, item_text)]
+    return parts[0].drop("text_key") if len(parts) == 1 else _merge(parts)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents without a hit, filtered where they are read, slice after slice."""
+    small_batches(docs.sparkSession)
+    out = docs.select(*columns)
+    for index, _ in _indexes(out.select("doc_id", "text"), benchmark, k, slice_bytes, "item_id", "text"):
+        out = out.mapInArrow(_unhit(out.sparkSession.sparkContext.broadcast(pickle.dumps(index))), out.schema)
+    return out
+
+
+def _unhit(sent):
+    def run(batches):
+        own = pickle.loads(sent.value)
+        for b in slices(batches, "text"):
+            w = scan(b.column("text"), ALNUM, lower=True)
+            start, _ = own.find(w)
+            keep = np.ones(b.num_rows, dtype=bool)
+            keep[np.searchsorted(w.rows, start, "right") - 1] = False
+            yield b.filter(pa.array(keep))
+
+    return run
 
 
 def _search(d: DataFrame, index: WindowIndex, keyed: bool) -> DataFrame:

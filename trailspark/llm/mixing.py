@@ -71,8 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float =
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")).alias("hash"), *carry
     )
     # text is read once; what follows works on a narrow table
-    small = sized if carry else materialize(sized, "sizes")
-    narrow = small.select("source", "size", "hash")
+    narrow = materialize(sized.select("source", "size", "hash") if carry else sized, "sizes")
+    small = sized if carry else narrow
     first = narrow.groupBy("source", F.substring("hash", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
     first = materialize(first, "histogram")
     by_source = [(r[0], int(r[1])) for r in first.groupBy("source").agg(F.sum("words")).collect()]

@@ -53,8 +53,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op6_substring_dedup, op7_licenses, op8_toxicity, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_output, op4_pii, op5_gif_media, op6_substring_dedup, op7_licenses, op8_toxicity, op9_secrets, op10_mixing, pipeline)
 }
 
 ORACLES: dict[str, str] = {}
