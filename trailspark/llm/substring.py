@@ -37,9 +37,9 @@ from ._store import materialize, new_path, release, small_batches
 from ._text import SPACED, chunks, column_bytes, groups, mix, pack, scan, slices, spread, unpack, windows
 
 WINDOW = 13
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 14 << 20
 FAN_IN = 4
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _SENT = "bucket long, kind int, docs binary, keys binary, counts binary, fingerprints binary, gaps binary"
 _RUN = "bucket long, fingerprints binary, owners binary"
