@@ -12,9 +12,9 @@ the global start is the shard's offset, a running sum over shard totals, plus
 the place. Shards are written under a task-attempt name and renamed, so a lost
 or repeated task leaves one complete file.
 
-The tokenizer drops white space before it splits, so no token spans a white
-space and equal space-free pieces have equal ids; each worker encodes a piece
-once and joins the ids of known pieces.
+The tokenizer drops white space and lower-cases before it splits, so no token
+spans a white space and equal pieces have equal ids; each worker encodes a piece
+once and gathers the ids of known pieces with array operations.
 
 The corpus is dealt and written in ``rounds`` by ranges of doc_id, which bounds
 how much text lies in shuffle files at a time.
@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import materialize, new_path, release, small_batches
+from ._text import _LOWER, chunks, column_bytes, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LENGTH = 2048
 BATCH = 64
 #: Known pieces a worker keeps.
-PIECES = 300_000
+PIECES = 1_500_000
 SHARD_BYTES = 16 << 20
 
 
@@ -54,33 +55,104 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of texts as little-endian bytes, by pieces between spaces, tabs and line breaks."""
+#: Classes of bytes: 0 white space, 1 ASCII letter, 2 digit, 3 other ASCII, 4 apostrophe and non-ASCII.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x80:] = _CLASS[0x27] = 4
+
+
+def pieces(data: np.ndarray, off: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first piece of each row): runs without white space; fine: also cut where ASCII letters, digits and signs meet.
+
+    The vocabulary's splitter always cuts there: no token of its pattern holds a
+    letter, digit or sign beside another kind, but contractions, which begin
+    with an apostrophe.
+    """
+    kind = _CLASS[data]
+    n = len(data)
+    inside = kind > 0
+    begin, end = inside.copy(), inside.copy()
+    if n:
+        begin[1:] &= ~inside[:-1]
+        end[:-1] &= ~inside[1:]
+        if fine:
+            cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4) & inside[1:] & inside[:-1]) + 1
+            begin[cut] = True
+            end[cut - 1] = True
+        edge = off[(off > 0) & (off < n)]
+        begin[edge] = inside[edge]
+        end[edge - 1] = inside[edge - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return starts, ends, np.searchsorted(starts, off)
+
 
-    _SPACES = str.maketrans("\t\n\r", "   ")
+class Encoder:
+    """Ids of a column of texts; a piece is encoded once and remembered by its hash and length."""
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").translate(self._SPACES).split(" ") for t in texts]
-        new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = set().union(*pieces)
-        if new:
-            order = list(new)
-            batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for piece, got in zip(order, batch(order, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in pieces]
+        self.end = end
+        self._forget()
+
+    def _forget(self) -> None:
+        # entry 0 is the end id
+        self.keys, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], self.kind)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        got = [e.ids for e in batch(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for g in got for i in g), self.kind, int(size.sum()))
+        first = len(self.at)
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, flat])
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.entries = np.insert(self.entries, place, np.arange(first, first + len(keys)))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows with the end id after each, counts)."""
+        data, off = column_bytes(column)
+        # special strings are found in the text as it stands, so such chunks are neither lower-cased nor cut
+        fine = not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any()
+        if fine:
+            data = _LOWER[data]
+        starts, ends, rows = pieces(data, off, fine)
+        keys, first, of = np.unique(word_hashes(data, starts, ends) ^ np.uint64(0 if fine else 0x5BD1E995), return_index=True, return_inverse=True)
+        if len(self.keys) > PIECES:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        low = place < len(self.keys)
+        known[low] = self.keys[place[low]] == keys[low]
+        if (new := np.flatnonzero(~known)).size:
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        entry = np.insert(self.entries[place][of] if len(keys) else np.zeros(0, np.int64), rows[1:], 0)
+        size = self.size[entry]
+        stop = np.cumsum(size)
+        where = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.at[entry] - stop + size, size)
+        counts = np.diff(np.append(0, stop[rows[1:] + np.arange(len(rows) - 1)]))
+        return self.ids[where], counts
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_for(path: str, end: int = END) -> Encoder:
+    """A worker's encoder, which lasts for its tasks."""
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
 
 
 def schema(kind: np.dtype, length: int) -> pa.Schema:
@@ -203,19 +275,13 @@ def _writer(folder: str, vocabulary: str, length: int, end: int, part: int):
         own = f"{local}/_{name}.{context.taskAttemptId()}"
         encoder = writer = sink = None
         place = rank = 0
-        for b in batches:
+        for b in chunks(batches, "text"):
             if writer is None:
-                encoder = Encoder(vocabulary, end)
+                encoder = encoder_for(vocabulary, end)
                 sink = fs.open_output_stream(own)
                 writer = ShardWriter(sink, encoder.kind, length)
-            counts = []
-            step = 64
-            texts = b.column("text")
-            for at in range(0, b.num_rows, step):
-                for ids in encoder.encode(texts.slice(at, step).to_pylist()):
-                    writer.add(ids)
-                    counts.append(len(ids) // encoder.kind.itemsize)
-            n = np.array(counts, dtype=np.int64)
+            ids, n = encoder.encode(b.column("text"))
+            writer.add(ids.tobytes())
             places = place + np.cumsum(n) - n
             place += int(n.sum())
             size = b.num_rows
