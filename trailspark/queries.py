@@ -96,7 +96,7 @@ KQL: dict[str, tuple[str, str | None]] = {
     "conditionals": ("part | project p_partkey, a=iff(p_size > 25, 'big', 'small'), b=case(p_size < 10, 1, p_size < 20, 2, 3)", "select p_partkey, if(p_size > 25, 'big', 'small') a, case when p_size < 10 then 1 when p_size < 20 then 2 else 3 end::bigint b from part"),
     "text_functions": (
         "part | project p_partkey, a=strlen(p_name), b=substring(p_type, 1, 3), c=strcat(p_brand, '-', p_size), d=tolower(p_type), e=toupper(p_name), f=replace_string(p_type, 'E', 'ee'), g=trim('[A-D]', p_type), h=extract('#(\\\\d)(\\\\d)', 2, p_brand), i=extract('x(y)', 5, p_name), j=tostring(split(p_brand, '#'))",
-        r"select p_partkey, length(p_name) a, substr(p_type, 2, 3) b, p_brand || '-' || p_size c, lower(p_type) d, upper(p_name) e, replace(p_type, 'E', 'ee') f, regexp_replace(regexp_replace(p_type, '^[A-D]+', ''), '[A-D]+$', '') g, regexp_extract(p_brand, '#(\d)(\d)', 2) h, '' i, '["' || array_to_string(string_split(p_brand, '#'), '","') || '"]' j from part",
+        r"""select p_partkey, length(p_name) a, substr(p_type, 2, 3) b, p_brand || '-' || p_size c, lower(p_type) d, upper(p_name) e, replace(p_type, 'E', 'ee') f, regexp_replace(regexp_replace(p_type, '^[A-D]+', ''), '[A-D]+$', '') g, regexp_extract(p_brand, '#(\d)(\d)', 2) h, '' i, '["' || array_to_string(string_split(p_brand, '#'), '","') || '"]' j from part""",
     ),
     "decode": ("part | project p_partkey, a=url_decode(strcat('https%3A%2F%2Fx.org%2F', p_partkey, '+%20')), b=base64_decode_tostring('aGVsbG8='), c=url_decode('%FF'), d=base64_decode_tostring('aGVsbG8')", "select p_partkey, 'https://x.org/' || p_partkey || '+ ' a, 'hello' b, null::varchar c, null::varchar d from part"),
     "ipv4": (
