@@ -28,6 +28,8 @@ class Value:
     #: A dynamic path: the column it starts from and its keys.
     base: Column | None = None
     keys: tuple[str | int, ...] = ()
+    #: Plain text that is kept in a column of its own.
+    plain: Column | None = None
 
     def typed(self, type_: str) -> Value:
         return replace(self, type=type_)
@@ -85,6 +87,8 @@ def path_json(base: Column, keys: tuple[str | int, ...]) -> Column:
 def text(v: Value) -> Column:
     """Plain text of a value of any type."""
     if v.type == DYNAMIC:
+        if v.plain is not None:
+            return v.plain
         if v.base is not None and (path := json_path(v.keys)) is not None:
             return F.get_json_object(v.base, path)
         unwrapped = F.get_json_object(v.column, "$")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,7 +57,10 @@ class Binder:
             base = base.typed(DYNAMIC)
         if base.type != DYNAMIC:
             raise self.fail(f"a {base.type} value has no members", e)
-        return values.member(base, e.key)
+        out = values.member(base, e.key)
+        if self.relation is not None and self.relation.indexes and (path := _dotted(e)) is not None and path in self.relation.indexes:
+            return replace(out, plain=F.col(f"`{self.relation.indexes[path]}`"))
+        return out
 
     def _call(self, e: Call) -> Value:
         if e.name in AGGREGATES and e.name not in FUNCTIONS:
@@ -203,6 +207,15 @@ class Binder:
             raise self.fail(str(x), e) from x
 
 
+def _dotted(e: Node) -> str | None:
+    """The path of a chain of names."""
+    if isinstance(e, Name):
+        return e.name
+    if isinstance(e, Member) and isinstance(e.key, str) and (base := _dotted(e.base)) is not None:
+        return f"{base}.{e.key}"
+    return None
+
+
 def term_match(t: Column, wanted: str, left: bool = True, right: bool = True, sensitive: bool = False) -> Column:
     """A term with boundaries; plain containment is tested first, as it is cheap and rarely true."""
     if not wanted:

@@ -186,8 +186,7 @@ class Lowering:
         return Relation(rel.df.select(*[v.column.alias(n) for n, v in everything]), tuple(ColumnInfo(n, v.type) for n, v in everything))
 
     def _only(self, rel: Relation, columns: list[ColumnInfo]) -> Relation:
-        raw = rel.raw if rel.raw in [c.name for c in columns] else None
-        return Relation(rel.df.select(*[c.column() for c in columns]), tuple(columns), raw)
+        return Relation(rel.df.select(*[c.column() for c in columns]), tuple(columns))
 
     def _project_away(self, rel: Relation, op: Operator) -> Relation:
         gone = {self._known(rel, n, op).name for n in op.names}

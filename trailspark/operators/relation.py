@@ -23,6 +23,8 @@ class Relation:
     columns: tuple[ColumnInfo, ...]
     #: Column that holds the whole record, for search.
     raw: str | None = None
+    #: Physical text column of a dotted path, where one is kept.
+    indexes: dict[str, str] | None = None
 
     def find(self, name: str) -> ColumnInfo | None:
         """A column by name; another case is found where it is the only one."""
