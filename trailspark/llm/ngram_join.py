@@ -43,11 +43,11 @@ from .components import components
 K = 5
 #: Jaccard similarity as a fraction of integers, so that the test is exact.
 NUM, DEN = 75, 100
-BUCKET = 6_000_000
+BUCKET = 3_000_000
 TILE_DOCS = 1024
 TILE_SHINGLES = 1_000_000
 BITS = 512
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,7 @@ def _shared(buckets: int):
         docs, keys, sizes, counts = unpack(col["docs"], "<i8"), unpack(col["keys"], "<u8"), unpack(col["sizes"], "<u4"), unpack(col["counts"], "<u4").astype(np.int64)
         token = unpack(col["low"], "<u4").astype(np.uint64)
         token |= unpack(col["high"], "<u2").astype(np.uint64) << np.uint64(32)
+        del col, table
         order = np.argsort(token)
         t = token[order]
         first = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1) if len(t) else np.zeros(0, np.int64)
@@ -140,8 +141,8 @@ def _shared(buckets: int):
         rank = np.empty(len(t), np.uint8)
         rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(times))).astype(np.uint8), times)
         keep = rank > 0
-        del order, t
-        entry = np.repeat(np.arange(len(docs)), counts)[keep]
+        del order, t, first, times
+        entry = np.repeat(np.arange(len(docs), dtype=np.uint32), counts)[keep]
         token, rank = token[keep] | np.uint64(key[0].as_py() % 65536) << np.uint64(48), rank[keep]
         to = spread(docs, buckets)[entry]
         order = np.lexsort((entry, to))
