@@ -73,12 +73,19 @@ class Engine:
         """Rows of a query, at most MAX_ROWS, as the service returns them."""
         compiled = self.compile(query)
         began, tag = time.monotonic(), f"query-{uuid.uuid4().hex}"
-        timer = None
-        self.spark.addTag(tag)
+        done, context = threading.Event(), self.spark.sparkContext
+
+        def watch() -> None:
+            # jobs that begin after the deadline are ended too
+            wait = deadline
+            while not done.wait(wait):
+                context.cancelJobsWithTag(tag)
+                wait = 0.2
+
+        context.addJobTag(tag)
         try:
             if deadline:
-                timer = threading.Timer(deadline, self.spark.interruptTag, [tag])
-                timer.start()
+                threading.Thread(target=watch, daemon=True).start()
             rows = compiled.df.limit(MAX_ROWS).collect()
         except Exception as e:
             if deadline and time.monotonic() - began >= deadline:
@@ -87,9 +94,8 @@ class Engine:
                 raise QueryError("query execution failed") from e
             raise
         finally:
-            if timer:
-                timer.cancel()
-            self.spark.removeTag(tag)
+            done.set()
+            context.removeJobTag(tag)
         out = [{n: encode(v, compiled.types[n]) for n, v in zip(compiled.columns, r, strict=True)} for r in rows]
         return {"columns": compiled.columns, "rows": out, "rowCount": len(out), "durationMs": int((time.monotonic() - began) * 1000)}
 
