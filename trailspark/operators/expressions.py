@@ -220,11 +220,13 @@ def term_match(t: Column, wanted: str, left: bool = True, right: bool = True, se
     """A term with boundaries; plain containment is tested first, as it is cheap and rarely true."""
     if not wanted:
         return F.lit(False)
-    # as for text that is no text, a null does not match
-    match = t.rlike(term(wanted, left, right, sensitive))
     if sensitive:
-        match = F.contains(t, F.lit(wanted)) & match
+        match = F.contains(t, F.lit(wanted)) & t.rlike(term(wanted, left, right, True))
     elif wanted.isascii() and not set(wanted.lower()) & {"k", "s", "i"}:
-        # k, s and i have case variants beyond ASCII
-        match = F.contains(F.lower(t), F.lit(wanted.lower())) & match
+        # only k, s and i have case variants beyond ASCII; other terms are matched in lower case, without slow folding
+        low, small = F.lower(t), wanted.lower()
+        match = F.contains(low, F.lit(small)) & low.rlike(term(small, left, right, True))
+    else:
+        match = t.rlike(term(wanted, left, right, False))
+    # as for a value that is no text, a null does not match
     return F.coalesce(match, F.lit(False))
