@@ -20,8 +20,6 @@ from .relation import ColumnInfo, Relation
 
 MAX_ITEMS = 32
 MAX_EXPANSIONS = 1
-#: A limit as in the reference's collections does not apply to expansion; this is the default of a missing limit.
-NO_LIMIT = None
 
 
 class Lowering:

@@ -7,9 +7,12 @@ unordered input there is no SQL.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailspark.engine import Engine
 
@@ -117,15 +120,65 @@ def _kql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).compile(text).df
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder that all executors see; a local one where the cluster names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='trailspark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/import-{uuid.uuid4().hex}"
+
+
+def _imported(format_: str, query: str, tables: tuple[str, ...] = ("Log",)) -> Callable[[SparkSession, str], DataFrame]:
+    """The events table written as files, imported and queried."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from trailspark.sources.ingest import Workspace
+        from trailspark.sources.manifest import DatasetConfig, Manifest
+
+        folder = _scratch(spark)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        flat = events.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.concat(F.lit("src-"), F.col("user_id") % 3).alias("origin"), "event_id", "user_id", "event_type", "value", "props")
+        datasets = []
+        for n, table in enumerate(tables):
+            part = flat.where(F.col("event_id") % len(tables) == n) if len(tables) > 1 else flat
+            path = f"{folder}/in-{n}"
+            if format_ == "csv":
+                part.write.csv(path, header=True, quoteAll=True, escape='"')
+            elif format_ == "array":
+                # one array a file: lines are objects, and the first and last carry the brackets
+                part.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(8))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*part.columns))), ","), F.lit("]")).alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+            else:
+                part.select(F.to_json(F.struct(*part.columns)).alias("value")).write.text(path, compression="gzip" if format_ == "gzip" else "none")
+            datasets.append(DatasetConfig(f"d{n}", table, path, "csv" if format_ == "csv" else "json", "", "origin", "ts"))
+        workspace = Workspace(spark, f"{folder}/workspace")
+        workspace.load(Manifest(datasets=tuple(datasets)))
+        return Engine(spark, workspace.catalog(), NOW).compile(query).df
+
+    return run
+
+
+_LOG = "Log | where props.k >= 50 | summarize n=count(), lo=min(TimeGenerated), hi=max(TimeGenerated), sources=tostring(make_set(Source)) by event_type"
+_LOG_SQL = "select event_type, count(*) n, min(ts) lo, max(ts) hi, '[\"' || string_agg(distinct 'src-' || user_id % 3, '\",\"' order by 'src-' || user_id % 3) || '\"]' sources from events where try_cast(json_extract_string(props, '$.k') as double) >= 50 group by 1"
+IMPORTED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "import_ndjson": (_imported("json", _LOG), _LOG_SQL),
+    "import_gzip": (_imported("gzip", _LOG), _LOG_SQL),
+    "import_csv": (_imported("csv", _LOG), _LOG_SQL),
+    "import_json_array": (_imported("array", _LOG), _LOG_SQL),
+    "events_union": (_imported("json", "Events | project id=tolong(event_id), Source, event_type", ("Left", "Right")), "select event_id as id, 'src-' || user_id % 3 as \"Source\", event_type from events"),
+    "events_search": (_imported("json", 'Events | search "purchase" | project id=tolong(event_id), TimeGenerated', ("Left", "Right")), 'select event_id as id, ts as "TimeGenerated" from events where event_type = \'purchase\''),
+}
+
+
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailspark.operators.timeline import histogram
 
     return histogram(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _kql(text) for name, (text, _) in KQL.items()} | {"timeline_histogram": _histogram}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _kql(text) for name, (text, _) in KQL.items()} | {name: run for name, (run, _) in IMPORTED.items()} | {"timeline_histogram": _histogram}
 
-ORACLES: dict[str, str] = {name: sql for name, (_, sql) in KQL.items() if sql} | {
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in KQL.items() if sql} | {name: sql for name, (_, sql) in IMPORTED.items()} | {
     "timeline_histogram": """with r as (select min(ts) lo, max(ts) hi, least(24, ceil(sqrt(count(*))))::bigint k from events),
     b as (select least(floor((epoch_us(ts) - epoch_us(lo)) / (greatest(epoch_us(hi) - epoch_us(lo), 1)::double / k)), k - 1)::bigint bucket from events, r)
     select bucket, count(*) n from b group by 1"""

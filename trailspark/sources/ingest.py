@@ -56,7 +56,8 @@ def signature(config: DatasetConfig, size: int, changed: int) -> str:
 
 def _sample(raw: DataFrame) -> list[tuple[int, str]]:
     """The first SAMPLE records and, after them, the first record of each new set of root keys."""
-    head = raw.where(F.col("record_no") <= SAMPLE)
+    # several files of one dataset each count from 1; the sample stays bounded
+    head = raw.where(F.col("record_no") <= SAMPLE).orderBy("record_no").limit(SAMPLE)
     keys = F.array_sort(F.json_object_keys(F.when(F.try_parse_json("raw").isNotNull(), F.col("raw"))))
     late = raw.where(F.col("record_no") > SAMPLE).select("record_no", "raw", keys.alias("k")).where("k is not null")
     firsts = late.groupBy("k").agg(F.min_by("raw", "record_no").alias("raw"), F.min("record_no").alias("record_no"))

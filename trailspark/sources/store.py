@@ -34,10 +34,9 @@ class Store:
             raise OSError(f"cannot rename {old} to {new}")
 
     def stat(self, path: str) -> tuple[int, int]:
-        """(size, time of change in ms) of a file."""
+        """(size, time of change in ms) of a file or folder."""
         fs, p = self._at(path)
-        s = fs.getFileStatus(p)
-        return s.getLen(), s.getModificationTime()
+        return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
 
     def read_text(self, path: str) -> str | None:
         if not self.exists(path):
