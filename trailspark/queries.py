@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.engine import Engine
+from trailspark.operators.relation import Relation
+from trailspark.sources.catalog import Catalog, typed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: String columns that hold JSON.
@@ -23,11 +25,25 @@ DYNAMIC = {"events": {"props"}}
 NOW = dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc)
 
 
+class _Folder(Catalog):
+    """Parquet tables of a folder, each opened when a query first names it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def find(self, name: str) -> Relation | None:
+        key = name.lower()
+        if key in TABLES and super().find(key) is None:
+            self.add(key, typed(self.spark.read.parquet(f"{self.sf_dir}/{key}.parquet"), DYNAMIC.get(key)))
+        return super().find(key)
+
+    def names(self) -> list[str]:
+        return sorted(TABLES)
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    e = Engine(spark, now=NOW)
-    for t in TABLES:
-        e.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"), DYNAMIC.get(t))
-    return e
+    return Engine(spark, _Folder(spark, sf_dir), NOW)
 
 
 #: name -> (query, SQL or None)
