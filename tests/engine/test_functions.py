@@ -12,7 +12,7 @@ from trailspark.functions import arrow
 from trailspark.functions.regex import RegexError, n_groups, term, to_java
 from trailspark.functions.scalar import FUNCTIONS, Context, duration
 from trailspark.functions.values import DYNAMIC, LONG, REAL, STRING, Value, literal
-from trailspark.operators.expressions import term_match
+from trailspark.operators.expressions import term_match, word_match
 
 CONTEXT = Context(None, lambda m: ValueError(m))
 
@@ -153,3 +153,9 @@ def test_durations():
     for bad in ("", "1x", "999999999999999999999w"):
         with pytest.raises(ValueError):
             duration(bad)
+
+
+def test_unicode_words(spark):
+    cases = [("PowerShell admin", "powershell", False, True), ("PowerShell admin", "PowerShell", True, True), ("PowerShell admin", "powershell", True, False), ("PowerShellCore", "PowerShell", False, False), ("run—PowerShell!", "PowerShell", True, True), ("PowerShell", "", False, False), ("éPower", "power", False, False)]
+    for value, wanted, sensitive, want in cases:
+        assert spark.createDataFrame([(value,)], "v string").select(word_match(F.col("v"), wanted, sensitive)).first()[0] is want

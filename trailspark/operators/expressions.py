@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import values
 from trailspark.functions.aggregates import AGGREGATES
-from trailspark.functions.regex import RegexError, term, to_java
+from trailspark.functions.regex import RegexError, quote, term, to_java
 from trailspark.functions.scalar import FUNCTIONS, Context, duration
 from trailspark.functions.values import BOOL, DATETIME, DYNAMIC, LONG, NULL, REAL, STRING, TIMESPAN, Value, text
 from trailspark.plans.errors import QueryError
@@ -230,3 +230,10 @@ def term_match(t: Column, wanted: str, left: bool = True, right: bool = True, se
         match = t.rlike(term(wanted, left, right, False))
     # as for a value that is no text, a null does not match
     return F.coalesce(match, F.lit(False))
+
+
+def word_match(t: Column, wanted: str, sensitive: bool = False) -> Column:
+    """A term between characters that are no Unicode letter, digit or underscore; a library function, not of the language."""
+    if not wanted:
+        return F.when(t.isNotNull(), F.lit(False))
+    return t.rlike(("" if sensitive else "(?iu)") + r"(?<![\p{L}\p{Nd}_])" + quote(wanted) + r"(?![\p{L}\p{Nd}_])")
