@@ -316,3 +316,20 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     want = {x: root(x) for x in list(parent) if root(x) != x}
     assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_extra_columns_repeated_and_null_rows(spark):
+    """Clashing extra columns change nothing; repeated rows and null ids give a row each."""
+    names = ["score", "hash", "size", "n", "k1", "k2", "spans", "bucket", "kind", "d", "t", "node", "root", "gone", "key", "shard", "place", "toxic", "counts", "start", "hits", "text_key"]
+    rows = [(1, "a b c d e f g h i j k l m n o", None), (1, "a b c d e f g h i j k l m n o", None), (None, "a b c d e f g h i j k l m n o", "s"), (2, "A b c d e f g h i j k l m n o", "s"), (3, None, "s"), (None, None, None)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = base.withColumns({n: mixing.F.lit(9) for n in names})
+    bench = spark.createDataFrame([(7, "a b c d e f g h i j", 1)], "item_id long, text string, n_words int")
+    labels = spark.createDataFrame([(1, 1, 5), (2, 0, 5), (None, 1, 5), (3, None, 5)], "doc_id long, toxic int, score int")
+    runs = {
+        "op1": lambda x: ngram_join.jaccard_components(x), "op2": lambda x: decontaminate.digest(decontaminate.contamination(x, bench)), "op3": lambda x: tokens.read_back(tokens.write(x)), "op4": lambda x: pii.digest(pii.scan(x)), "op5": lambda x: gif.features(gif.to_media(x)),
+        "op6": lambda x: substring.digest(substring.dedup(x)), "op7": lambda x: licenses.digest(licenses.find(x)), "op8": lambda x: toxicity.digest(toxicity.score(x, toxicity.fit(x, labels))), "op9": lambda x: secrets.digest(secrets.scan(x)), "op10": lambda x: mixing.mix(x),
+    }
+    for name, run in runs.items():
+        a, b = (sorted(map(str, run(x).collect())) for x in (base, wide))
+        assert a == b and len(a) == len(rows), name
