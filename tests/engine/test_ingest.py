@@ -112,6 +112,31 @@ def test_late_records(load):
     assert raw.count('{"payload":{"k":{"deep":1}}') == 2 and "123456789012345678901234567890" in raw
 
 
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_folder_of_files(spark, tmp_path, kind):
+    """Fields of every file are found: records are numbered over the files, not in each."""
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        key = f"only{f}"
+        embedded = json.dumps({"deep": f})
+        if kind == "csv":
+            rows = [f'1,{i},"{embedded.replace(chr(34), chr(34) * 2)}"' if i == 3000 else f"1,{i}," for i in range(4000)]
+            (tmp_path / "in" / f"{f}.csv").write_text("\n".join([f"ts,n,{key}", *rows]) + "\n")
+        else:
+            rows = [{"ts": 1, "n": i} | ({key: embedded} if i == 3000 else {}) for i in range(4000)]
+            (tmp_path / "in" / f"{f}.json").write_text(json.dumps(rows))
+    w = Workspace(spark, str(tmp_path / "ws"))
+    w.load(manifest(tmp_path, dataset(path="in", format=kind, timestampFormat="unix")))
+    assert w.datasets[0].count == 12_000
+    e = Engine(spark, w.catalog())
+    assert {"only0", "only1", "only2"} <= set(e.compile("T").types)
+    if kind == "json":
+        assert {"only0.deep", "only1.deep", "only2.deep"} <= {f["path"] for f in w.fields()["tables"]["T"]}
+        assert e.query("T | where only2.deep == 2 | count", None)["rows"] == [{"Count": 1}]
+    numbers = sorted(r["record_no"] for r in spark.read.parquet(w.datasets[0].path).select("record_no").collect())
+    assert numbers == list(range(1, 12_001))
+
+
 def test_indexed_path(load):
     w, e = load(dataset(indexedPaths=["src_ip", "alert.signature_id"]), files={"in.ndjson": '{"ts":1,"src_ip":"10.0.0.1","alert":{"signature_id":42}}\n{"ts":2,"dest_ip":"x"}\n'})
     c = e.compile("T | where alert.signature_id == 42 | project src_ip")

@@ -2,7 +2,7 @@
 
 NDJSON is split by Spark; record numbers come from counts of each split. JSON
 arrays, CSV and event logs need their file's start, so one task reads one file;
-many files are read by many tasks.
+many files are read by many tasks, and once more before that to count their records.
 """
 
 from __future__ import annotations
@@ -69,12 +69,25 @@ def ndjson(spark: SparkSession, path: str) -> DataFrame:
 def _whole_files(spark: SparkSession, path: str, format_: str, limit: int) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(1 for _ in _guarded(content, name, format_, limit))], pa.int64())], names=["path", "n"])
+
+    # records are numbered over the dataset, files in the order of their paths; one row a file reaches the driver
+    before: dict[str, int] = {}
+    if files.select("path").limit(2).count() > 1:
+        total = 0
+        for name, n in sorted(map(tuple, files.mapInArrow(count, "path string, n long").collect())):
+            before[name] = total
+            total += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 held: list[tuple[int, str | None, str | None]] = []
-                for row in _guarded(content, name, format_, limit):
-                    held.append(row)
+                for n, raw, error in _guarded(content, name, format_, limit):
+                    held.append((before.get(name, 0) + n, raw, error))
                     if len(held) >= _BATCH:
                         yield _batch(held)
                         held = []
