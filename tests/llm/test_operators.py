@@ -159,6 +159,37 @@ def test_licenses(spark, docs, rows):
     assert "mit-text" in found[1] and "gpl-notice" in found[2]
 
 
+def test_license_words_shared_by_templates():
+    """A match counts for every template that holds it, whatever longer match another template has."""
+
+    def labels(text, templates=None):
+        own = licenses.Scanner(templates)
+        w = licenses.scan(licenses.pa.array([text]), licenses.ALNUM, lower=True)
+        return {own.labels[t]: covered for _, _, _, t, covered in own.spans(own.matches(w))}
+
+    found = labels("This work is licensed under the Creative Commons Attribution 4.0 International License.")
+    assert found["cc-by"] == 12 and found["gpl-work"] == 6
+    # the same words at several places of one template
+    assert labels("p q r s a b c d e f", {"t": "a b c d x p q r s y a b c d e f"}) == {"t": 10}
+    # every maximal match, against comparing all places
+    rng = np.random.default_rng(4)
+    templates = {str(i): " ".join(map(str, rng.integers(0, 3, 40))) for i in range(3)}
+    text = rng.integers(0, 4, 300)
+    own = licenses.Scanner(templates)
+    got = own.matches(licenses.scan(licenses.pa.array([" ".join(map(str, text))]), licenses.ALNUM, lower=True))
+    want = []
+    for k, t in enumerate(templates.values()):
+        words, here = t.split(), list(map(str, text))
+        for i in range(len(here)):
+            for j in range(len(words)):
+                n = 0
+                while i + n < len(here) and j + n < len(words) and here[i + n] == words[j + n]:
+                    n += 1
+                if n >= 4 and (i == 0 or j == 0 or here[i - 1] != words[j - 1]):
+                    want.append((0, i, n, k, j))
+    assert sorted(got) == sorted(want)
+
+
 def test_automaton_statistics():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(0, 3, 12).tolist() for _ in range(4)]

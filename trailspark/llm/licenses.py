@@ -1,15 +1,17 @@
 """License scan with a generalised suffix automaton of template tokens.
 
 Words of each text are streamed through the automaton, which gives the matching
-statistics: at every word the longest suffix that occurs in some template.
-Maximal matches of at least ``LEAST`` words are located in their template and
-chained: matches that keep the template's order and leave gaps of at most
-``GAP`` words become one covered span. A template's coverage is the share of its
-words that the span covers; spans of ``COVER`` or of ``LONG`` words give its label.
+statistics: at every word the longest suffix that occurs in some template. The
+suffix links lead to the shorter suffixes, and each state knows all places of
+its words, so every maximal match of at least ``LEAST`` words is found at every
+place of every template. For each template the chain that covers most words is
+taken: matches that keep the template's order and leave gaps of at most ``GAP``
+words become one covered span. A template's coverage is the share of its words
+that the span covers; spans of ``COVER`` or of ``LONG`` words give its label.
 
-Only runs of ``LEAST`` or more consecutive words of the templates' vocabulary can
-hold a match, so all other words are passed over with array operations. The
-automaton's size depends on the templates alone.
+Only ``LEAST`` consecutive words that stand so in a template can begin a match,
+so all other words are passed over with array operations. The automaton's size
+depends on the templates alone.
 
 Defined results: null and empty texts have no words, labels or spans, score 0;
 rows are judged alone, so ties, repeated rows and null ids need nothing; other
@@ -51,12 +53,15 @@ LONG = 12
 
 @dataclass
 class Automaton:
-    """Suffix automaton of several token sequences; each state knows one place (template, end) of its longest word."""
+    """Suffix automaton of several token sequences; each state knows one place (template, end) of its longest word, and after ``locate`` all."""
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     place: list[tuple[int, int]] = field(default_factory=lambda: [(-1, -1)])
+    #: State of each prefix, with the prefix's place.
+    prefixes: list[tuple[int, tuple[int, int]]] = field(default_factory=list)
+    places: list[list[tuple[int, int]]] = field(default_factory=list)
 
     def _state(self, length: int, link: int, next_: dict[int, int], place: tuple[int, int]) -> int:
         self.next.append(next_)
@@ -82,6 +87,7 @@ class Automaton:
         for end, c in enumerate(tokens, 1):
             if c in self.next[last]:
                 last = self._split(last, c)
+                self.prefixes.append((last, (template, end)))
                 continue
             new = self._state(self.length[last] + 1, 0, {}, (template, end))
             p = last
@@ -91,6 +97,25 @@ class Automaton:
             if p >= 0:
                 self.link[new] = self._split(p, c)
             last = new
+            self.prefixes.append((last, (template, end)))
+
+    def locate(self, least: int) -> None:
+        """All places of each state that has words of ``least`` tokens: those of its prefixes and of the states linked to it."""
+        self.places = [[] for _ in self.length]
+        for state, place in self.prefixes:
+            while state > 0 and self.length[state] >= least:
+                self.places[state].append(place)
+                state = self.link[state]
+
+    def suffixes(self, state: int, length: int, least: int) -> dict[tuple[int, int], int]:
+        """Place -> length of the longest suffix, of ``least`` tokens or more, of a match that ends there."""
+        out: dict[tuple[int, int], int] = {}
+        while state > 0 and length >= least:
+            for place in self.places[state]:
+                out.setdefault(place, length)
+            state = self.link[state]
+            length = self.length[state]
+        return out
 
     def statistics(self, tokens: list[int]) -> list[tuple[int, int]]:
         """(state, length) of the longest match that ends at each token."""
@@ -116,11 +141,26 @@ class Scanner:
         code = np.searchsorted(self.vocabulary, words.hashes)
         self.sizes = words.per_row().tolist()
         self.automaton = Automaton()
-        for i in range(len(self.labels)):
-            self.automaton.add(code[words.rows[i] : words.rows[i + 1]].tolist(), i)
+        self.tokens = [code[words.rows[i] : words.rows[i + 1]].tolist() for i in range(len(self.labels))]
+        for i, tokens in enumerate(self.tokens):
+            self.automaton.add(tokens, i)
+        self.automaton.locate(least)
+        # as many words as fit a number without loss
+        self.bits = max(1, len(self.vocabulary).bit_length())
+        self.gram = min(least, 62 // self.bits)
+        grams = [self._grams(np.array(t, dtype=np.int64)) for t in self.tokens]
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.int64)
         p = scan(pa.array([x for x, _ in PHRASES], pa.string()), ALNUM, lower=True)
         self.phrases = [p.hashes[p.rows[i] : p.rows[i + 1]] for i in range(len(PHRASES))]
 
+    def _grams(self, code: np.ndarray) -> np.ndarray:
+        """Each run of ``gram`` words as one number."""
+        n = max(0, len(code) - self.gram + 1)
+        out = np.zeros(n, dtype=np.int64)
+        for j in range(self.gram):
+            out = (out << self.bits) | code[j : j + n]
+        return out
+
     def base(self, w: Words) -> list[tuple[int, int, int]]:
         """(row, word in the row, phrase) of each place."""
         out = []
@@ -137,13 +177,19 @@ class Scanner:
         return out
 
     def matches(self, w: Words) -> list[tuple[int, int, int, int, int]]:
-        """Maximal matches: (row, first word in the row, length, template, first word in the template)."""
+        """Maximal matches with each place of each template: (row, first word in the row, length, template, first word in the template)."""
         h = w.hashes
-        if not len(h) or not len(self.vocabulary):
+        if len(h) < self.gram or not len(self.grams):
             return []
-        code = np.searchsorted(self.vocabulary, h).clip(max=len(self.vocabulary) - 1)
+        code = np.searchsorted(self.vocabulary, h).clip(max=len(self.vocabulary) - 1).astype(np.int64)
         known = self.vocabulary[code] == h
-        edge = np.diff(np.concatenate([[0], known.astype(np.int8), [0]]))
+        # a code that no template word has
+        grams = self._grams(np.where(known, code, len(self.vocabulary)))
+        hit = self.grams[np.searchsorted(self.grams, grams).clip(max=len(self.grams) - 1)] == grams
+        word = np.zeros(len(h) + 1, dtype=np.int32)
+        np.add.at(word, np.flatnonzero(hit), 1)
+        np.add.at(word, np.flatnonzero(hit) + self.gram, -1)
+        edge = np.diff(np.concatenate([[0], (np.cumsum(word[:-1]) > 0).astype(np.int8), [0]]))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = e - s >= self.least
         out = []
@@ -152,29 +198,49 @@ class Scanner:
             while a < b:
                 stop = min(b, int(w.rows[r + 1]))
                 if stop - a >= self.least:
-                    got = self.automaton.statistics(code[a:stop].tolist())
-                    for i, (state, n) in enumerate(got):
-                        if n >= self.least and (i + 1 == len(got) or got[i + 1][1] <= n):
-                            template, end = self.automaton.place[state]
-                            out.append((r, a + i + 1 - n - int(w.rows[r]), n, template, end - n))
+                    text = code[a:stop].tolist()
+                    for i, (state, n) in enumerate(self.automaton.statistics(text), 1):
+                        if n < self.least:
+                            continue
+                        for (template, end), m in self.automaton.suffixes(state, n, self.least).items():
+                            tokens = self.tokens[template]
+                            # a match that the next word continues is part of a longer one
+                            if i == len(text) or end == len(tokens) or tokens[end] != text[i]:
+                                out.append((r, a + i - m - int(w.rows[r]), m, template, end - m))
                 a, r = stop, r + 1
         return out
 
     def spans(self, found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         """Chains: (row, first word, end word, template, template words covered)."""
-        out: list[list[int]] = []
-        ends: dict[tuple[int, int], tuple[int, list[int]]] = {}
-        for row, at, n, template, t_at in sorted(found):
-            before = ends.get((row, template))
-            if before and at - before[1][2] <= GAP and at >= before[1][2] and t_at >= before[0]:
-                span = before[1]
-                span[2] = at + n
-                span[4] += n
-            else:
-                span = [row, at, at + n, template, n]
-                out.append(span)
-            ends[row, template] = (t_at + n, span)
-        return [tuple(x) for x in out]
+        groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for row, at, n, template, t_at in found:
+            groups.setdefault((row, template), []).append((at, n, t_at))
+        out = []
+        for (row, template), nodes in groups.items():
+            nodes.sort()
+            best, before, ends = [], [], {}
+            for j, (at, n, t_at) in enumerate(nodes):
+                most, last = 0, -1
+                for e in range(at - GAP, at + 1):
+                    for i in ends.get(e, ()):
+                        if best[i] > most and nodes[i][2] + nodes[i][1] <= t_at:
+                            most, last = best[i], i
+                best.append(most + n)
+                before.append(last)
+                ends.setdefault(at + n, []).append(j)
+            # the chains of most words first; others keep what these leave
+            used = bytearray(max(at + n for at, n, _ in nodes))
+            for j in sorted(range(len(nodes)), key=lambda j: (-best[j], nodes[j])):
+                start = stop = nodes[j][0] + nodes[j][1]
+                covered = 0
+                while j >= 0 and used.find(1, nodes[j][0], start) < 0:
+                    start = nodes[j][0]
+                    covered += nodes[j][1]
+                    j = before[j]
+                if covered:
+                    used[start:stop] = b"\1" * (stop - start)
+                    out.append((row, start, stop, template, covered))
+        return sorted(out)
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,start:long,stop:long,coverage:double>>"
