@@ -190,6 +190,28 @@ def test_license_words_shared_by_templates():
     assert sorted(got) == sorted(want)
 
 
+def test_license_bodies(spark):
+    """Parts of a licence after its opening give its label."""
+    parts = {
+        "mit-whole": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY',
+        "bsd-3-whole": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "apache-2-whole": "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce",
+        "gpl-3-whole": "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish",
+        "lgpl-2.1-whole": "A program that contains no derivative of any portion of the Library, but is designed to work with the Library by being compiled or linked with it",
+        "agpl-network": "your modified version must prominently offer all users interacting with it remotely through a computer network",
+        "isc-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "unlicense-whole": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile",
+    }
+    df = spark.createDataFrame([(i, f"Some words. {t} and more") for i, t in enumerate(parts.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.digest(licenses.find(df)).collect()}
+    for i, name in enumerate(parts):
+        assert name in got[i], name
+    # texts that differ in a word are told apart
+    names = ("gpl-notice", "lgpl-notice", "agpl-notice")
+    df = spark.createDataFrame([(i, licenses.TEMPLATES[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.find(df)).select("doc_id", licenses.F.expr("array_join(filter(split(labels, ','), x -> x like '%-notice'), ',')").alias("labels")).collect()} == dict(enumerate(names))
+
+
 def test_automaton_statistics():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(0, 3, 12).tolist() for _ in range(4)]

@@ -7,7 +7,8 @@ its words, so every maximal match of at least ``LEAST`` words is found at every
 place of every template. For each template the chain that covers most words is
 taken: matches that keep the template's order and leave gaps of at most ``GAP``
 words become one covered span. A template's coverage is the share of its words
-that the span covers; spans of ``COVER`` or of ``LONG`` words give its label.
+that the span covers; spans of ``COVER`` or of ``LONG`` words give its label,
+unless another template's span holds the place and more of its words.
 
 Only ``LEAST`` consecutive words that stand so in a template can begin a match,
 so all other words are passed over with array operations. The automaton's size
@@ -20,7 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,12 @@ from pyspark.sql import functions as F
 
 from ._store import small_batches
 from ._text import ALNUM, Words, scan, slices
+from .licence_texts import TEXTS
 
 #: Base phrases and labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices of common licences (fixed values, opening or characteristic sentences).
+#: Notices of common licences (fixed values, opening or characteristic sentences), and whole texts.
 TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mit-notice": "Released under the MIT License.",
@@ -44,6 +48,7 @@ TEMPLATES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    **TEXTS,
 }
 LEAST = 4
 GAP = 8
@@ -132,6 +137,12 @@ class Automaton:
         return out
 
 
+@lru_cache(maxsize=1)
+def scanner() -> Scanner:
+    """The scanner of ``TEMPLATES``, made once a process."""
+    return Scanner()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, least: int = LEAST):
         templates = TEMPLATES if templates is None else templates
@@ -242,6 +253,27 @@ class Scanner:
                     out.append((row, start, stop, template, covered))
         return sorted(out)
 
+    def told(self, spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Spans of ``COVER`` or ``LONG`` that no other template explains better; a template that stands there word by word is always told."""
+        spans = [x for x in spans if x[4] >= LONG or x[4] / self.sizes[x[3]] >= COVER]
+        # spans of one template lie apart, so at most one of them holds a given place
+        starts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for row, at, end, template, covered in spans:
+            starts.setdefault((row, template), []).append((at, end, covered))
+        held: dict[int, list[int]] = {}
+        for row, template in starts:
+            held.setdefault(row, []).append(template)
+
+        def better(row: int, at: int, end: int, template: int, covered: int) -> bool:
+            for other in held[row]:
+                mine = starts[row, other]
+                i = bisect_right(mine, at, key=lambda x: x[0]) - 1
+                if other != template and i >= 0 and mine[i][1] >= end and (mine[i][2], mine[i][2] / self.sizes[other]) > (covered, covered / self.sizes[template]):
+                    return True
+            return False
+
+        return [x for x in spans if x[2] - x[1] == x[4] == self.sizes[x[3]] or not better(*x)]
+
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,start:long,stop:long,coverage:double>>"
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("coverage", pa.float64())])
@@ -252,7 +284,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     small_batches(docs.sparkSession)
 
     def run(batches):
-        own = Scanner(templates)
+        own = scanner() if templates is None else Scanner(templates)
         for b in slices(batches, "text"):
             w = scan(b.column("text"), ALNUM, lower=True)
             n = b.num_rows
@@ -260,10 +292,8 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
             for row, at, k in own.base(w):
                 places[row].append((at, k))
             spans: list[list[dict]] = [[] for _ in range(n)]
-            for row, at, end, template, covered in own.spans(own.matches(w)):
-                share = min(1.0, covered / own.sizes[template])
-                if share >= COVER or covered >= LONG:
-                    spans[row].append({"label": own.labels[template], "start": at, "stop": end, "coverage": share})
+            for row, at, end, template, covered in own.told(own.spans(own.matches(w))):
+                spans[row].append({"label": own.labels[template], "start": at, "stop": end, "coverage": min(1.0, covered / own.sizes[template])})
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"), pa.array(w.per_row()), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p)[0] if p else None for p in places], pa.int64()), pa.array([max(p)[0] if p else None for p in places], pa.int64()),
