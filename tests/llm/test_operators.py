@@ -238,6 +238,8 @@ def test_secrets(spark, docs, rows):
     assert secrets.accepted([0.001, 0.5, 0.004], 0.01) == [True, False, True]
     kinds = lambda t: {k for k, *_ in secrets.find(t)}
     assert "random" in kinds("x kX9vQ2mZr7LpT4bNw8YsD3hJ6fGc y")
+    assert "random" in kinds("x kXqVmQzZrLpTfbNwjYsDhJgcUaWoBe y") and "random" in kinds("x QXZKVJWPBYGFHMUCDLRSNIOATEQX y")
+    assert "random" not in kinds("AbstractSingletonProxyFactoryBeanCreator usr/share/common/licences/of/the/system THE_CONSTANT_OF_ALL_CONSTANTS -------------------- https//example")
     assert "random" not in kinds("see internationalization-of-the-modern-web-2nd-edition and aaaaaaaaaaaaaaaaaaaaaaaaaaaa1")
     for t in ("a" * 200_000, "token" + " " * 200_000, "f" * 200_000, "1" * 100_000):
         secrets.find(t)
