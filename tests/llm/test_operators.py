@@ -126,6 +126,24 @@ def _lzw_encode(samples, least):
     return out.to_bytes(-(-bits // 8), "little")
 
 
+def test_gif_compresses(monkeypatch):
+    """What the query writes has dictionary codes, and the general decoder reads it."""
+    text = b"the quick brown fox jumps over the lazy dog and the quick cat " * 40
+    calls = []
+    general = gif.lzw
+    monkeypatch.setattr(gif, "lzw", lambda *x: calls.append(x) or general(*x))
+    rng = np.random.default_rng(8)
+    payloads = [gif.payload_of(text), gif.payload_of(b""), *[rng.integers(0, m, 4 * gif.FRAME, dtype=np.uint8) for m in (2, 16, 64, 255)], np.arange(gif.FRAME * 2, dtype=np.uint16).astype(np.uint8)]
+    for payload in payloads:
+        assert (gif.samples(gif.parse(gif.encode(payload))) == payload).all()
+    assert len(gif.encode(payloads[0])) < len(payloads[0]) and len(calls) >= 6
+    # all lengths of code streams, about the growth of the width too
+    for n in range(1, gif.FRAME + 1):
+        x = np.full(gif.FRAME, 7, np.uint8)
+        x[:n] = rng.integers(0, 256, n)
+        assert (gif.samples(gif.parse(gif.encode(x))) == x).all()
+
+
 def test_gif_general():
     rng = np.random.default_rng(1)
     for least, n in ((2, 50), (4, 3000), (8, 20_000)):

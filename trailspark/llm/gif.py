@@ -5,9 +5,9 @@ reads GIF in general: LZW code streams of any growth, global and local
 palettes, interlacing, transparency, offsets, disposal (keep, restore to
 background, restore to previous) and frame delays.
 
-Speed comes from whole frames at a time: runs of literal codes between clear
-codes are unpacked with array arithmetic, over all frames of one length
-together; a frame with string codes takes the general decoder.
+Frames are written with the LZW dictionary and read by the general decoder.
+Streams that hold only literal codes between clear codes, as other writers make
+them, are unpacked with array arithmetic over all frames of one length together.
 
 Defined results: a null or empty text is one frame of padding; each row is
 encoded alone, so ties, repeated rows and null ids need nothing; other columns
@@ -35,26 +35,11 @@ PAD = 255
 DELAY = 10
 _CLEAR, _END = 256, 257
 _RUN = 254
+_SINGLE = [bytes([i]) for i in range(256)]
 #: Grey levels: sample n is the colour (n, n, n).
 _PALETTE = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """Rows of 9-bit codes as bytes, lowest bit first."""
-    rows, n = codes.shape
-    whole = -(-n // 8) * 8
-    c = np.zeros((rows, whole), dtype=np.uint16)
-    c[:, :n] = codes
-    c = c.reshape(rows, -1, 8)
-    out = np.empty((rows, whole // 8, 9), dtype=np.uint8)
-    for i in range(9):
-        # byte i holds bits 8i..8i+7: the top of code i-1 and the bottom of code i
-        low = (c[:, :, i] << i) if i < 8 else 0
-        high = (c[:, :, i - 1] >> (9 - i)) if i else 0
-        out[:, :, i] = (low | high) & 255
-    return out.reshape(rows, -1)[:, : -(-n * 9 // 8)]
-
-
 def _unpack9(data: np.ndarray, n: int) -> np.ndarray:
     rows = data.shape[0]
     whole = -(-n // 8) * 9
@@ -67,29 +52,39 @@ def _unpack9(data: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(rows, -1)[:, :n]
 
 
-def _literal_codes(samples: np.ndarray) -> np.ndarray:
-    """Frames as literal codes; a clear code before the width would grow."""
-    rows, n = samples.shape
-    parts = []
-    for at in range(0, n, _RUN):
-        parts += [np.full((rows, 1), _CLEAR, np.uint16), samples[:, at : at + _RUN].astype(np.uint16)]
-    return np.concatenate([*parts, np.full((rows, 1), _END, np.uint16)], axis=1)
+def _compress(samples: bytes) -> bytes:
+    """One frame's 8-bit LZW stream; a frame has fewer codes than fill the dictionary."""
+    codes, table, n, held = [_CLEAR], {}, _END + 1, samples[0]
+    for s in samples[1:]:
+        key = held << 8 | s
+        if key in table:
+            held = table[key]
+        else:
+            codes.append(held)
+            table[key] = n
+            n += 1
+            held = s
+    codes += [held, _END]
+    # the width grows when the reader's dictionary holds 512 entries, after the clear code and 255 others
+    all_ = np.array(codes, dtype=np.uint16)
+    bits = (all_[:, None] >> np.arange(10, dtype=np.uint16) & 1).astype(np.uint8)
+    return np.packbits(np.concatenate([bits[:256, :9].ravel(), bits[256:].ravel()]), bitorder="little").tobytes()
 
 
 def encode(payload: np.ndarray, delay: int = DELAY) -> bytes:
     """Bytes (a multiple of FRAME) as an animated GIF."""
-    frames = payload.reshape(-1, FRAME)
-    data = _pack9(_literal_codes(frames))
     head = struct.pack("<BHBB", 4, delay, 0, 0)
     control = b"\x21\xf9" + head[:1] + bytes([0x04]) + struct.pack("<H", delay) + b"\x00\x00"
     descriptor = b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    prefix = np.frombuffer(control + descriptor, np.uint8)
-    columns = [np.broadcast_to(prefix, (len(frames), len(prefix)))]
-    for at in range(0, data.shape[1], 255):
-        block = data[:, at : at + 255]
-        columns += [np.full((len(frames), 1), block.shape[1], np.uint8), block]
-    columns.append(np.zeros((len(frames), 1), np.uint8))
-    body = np.concatenate(columns, axis=1).tobytes()
+    raw, parts = payload.tobytes(), []
+    for start in range(0, len(raw), FRAME):
+        data = _compress(raw[start : start + FRAME])
+        parts += [control, descriptor]
+        for at in range(0, len(data), 255):
+            block = data[at : at + 255]
+            parts += [bytes([len(block)]), block]
+        parts.append(b"\0")
+    body = b"".join(parts)
     screen = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _PALETTE
     loop = b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"
     return screen + loop + body + b"\x3b"
@@ -109,13 +104,13 @@ def lzw(data: bytes, least: int, size: int) -> np.ndarray:
             held >>= width
             bits -= width
             if code == clear:
-                table = [bytes([i]) for i in range(clear)] + [b"", b""]
+                table = _SINGLE[:clear] + [b"", b""]
                 width, last = least + 1, None
                 continue
             if code == end or len(out) >= size:
                 return np.frombuffer(bytes(out[:size]).ljust(size, b"\x00"), np.uint8)
             if not table:
-                table = [bytes([i]) for i in range(clear)] + [b"", b""]
+                table = _SINGLE[:clear] + [b"", b""]
             if last is None:
                 entry = table[code]
             else:
@@ -222,7 +217,8 @@ def parse(raw: bytes) -> Gif:
         if f.least == 8:
             groups.setdefault((len(f.data), f.width * f.height), []).append(f)
     for (_, n), group in groups.items():
-        if n and (got := _literal(np.frombuffer(b"".join(f.data for f in group), np.uint8).reshape(len(group), -1), n)) is not None:
+        # a literal takes 9 bits, so shorter streams hold strings
+        if n and len(group[0].data) * 8 >= 9 * (n + 2) and (got := _literal(np.frombuffer(b"".join(f.data for f in group), np.uint8).reshape(len(group), -1), n)) is not None:
             for f, s in zip(group, got, strict=True):
                 f.samples = s
     for f in frames:
