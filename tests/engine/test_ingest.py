@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import pytest
 
@@ -11,7 +12,7 @@ from trailspark.sources.discover import catalogue_path, merge
 from trailspark.sources.formats import InputError, detect
 from trailspark.sources.ingest import Workspace
 from trailspark.sources.jsontext import dumps, loads, minify, normalize, split_path
-from trailspark.sources.manifest import ManifestError, parse
+from trailspark.sources.manifest import DatasetConfig, Manifest, ManifestError, parse
 
 
 def manifest(folder, *datasets, **top):
@@ -179,3 +180,40 @@ def test_manifest():
     with pytest.raises(ManifestError):
         manifest(".", dataset(), questions=[question])
     assert manifest(".", dataset(), questions=[question], flag="f", submissionCooldown="1m").cooldown_s == 60
+
+
+def test_search_reads_escapes(spark, tmp_path):
+    """A letter written as an escape is found like the letter."""
+    (tmp_path / "in.json").write_text('{"ts":1,"m":"\\u0050ower up"}\n{"ts":2,"m":"Power up"}\n{"ts":3,"m":"C:\\\\users"}\n')
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    ws.load(Manifest(datasets=(DatasetConfig("d", "T", str(tmp_path / "in.json"), "json", "s", "", "ts"),)))
+    engine = Engine(spark, ws.catalog())
+    assert engine.compile('T | search "power"').df.count() == engine.compile('T | where m has "power"').df.count() == 2
+    assert engine.compile('T | search "users"').df.count() == 1
+
+
+def test_packed_lines_are_bounded(spark, tmp_path):
+    with gzip.open(tmp_path / "in.json.gz", "wt") as f:
+        f.write('{"ts":1,"m":"' + "x" * 5000 + '"}\n')
+    wanted = Manifest(datasets=(DatasetConfig("d", "T", str(tmp_path / "in.json.gz"), "json", "s", "", "ts"),))
+    with pytest.raises(InputError):
+        Workspace(spark, str(tmp_path / "a"), max_input=4000).load(wanted)
+    assert Workspace(spark, str(tmp_path / "b"), max_input=6000).load(wanted) == ["d"]
+
+
+def test_rewritten_file_is_loaded_again(spark, tmp_path):
+    """A file of a folder that keeps its size is signed by its own time, and the newest whole catalogue counts."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"ts":1,"m":"one"}\n')
+    wanted = Manifest(datasets=(DatasetConfig("d", "T", str(folder), "json", "s", "", "ts"),))
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    assert ws.load(wanted) == ["d"] and ws.load(wanted) == []
+    before = folder.stat()
+    (folder / "a.json").write_text('{"ts":1,"m":"two"}\n')
+    os.utime(folder / "a.json", (before.st_mtime + 5, before.st_mtime + 5))
+    os.utime(folder, (before.st_atime, before.st_mtime))
+    assert ws.load(wanted) == ["d"]
+    (tmp_path / "ws" / "catalog.json.half.new").write_text("[{")
+    again = Workspace(spark, str(tmp_path / "ws"))
+    assert [r["m"] for r in Engine(spark, again.catalog()).compile("T | project m").df.collect()] == ["two"]

@@ -12,12 +12,17 @@ from trailspark.plans.errors import QueryError
 from trailspark.questions import Challenge
 from trailspark.sources.manifest import parse as parse_manifest
 
-ROWS = [('{"items":[1,2,3],"tags":["first"],"field.with.dots":"value","a":{"b":null}}', "pc-1", "Admin", "PowerShell alpha-user", "s"), ('{"items":{"k":1},"n":9007199254740993}', "pc-2", "guest", "benign", "s")]
+#: Three deliveries: an array of numbers, an object, nothing.
+ROWS = [
+    ('{"sizes":[4,9,2,9],"label":["big","red"],"unit.of.size":"kg","who":{"name":null}}', "dock-7", "Nora", "Crate arrived, seal-42 intact", "gate"),
+    ('{"sizes":{"w":3},"serial":18014398509481985}', "dock-8", "omar", "Pallet returned", "gate"),
+    ('{"sizes":null}', "dock-9", "Nora", "", "yard"),
+]
 
 
 @pytest.fixture(scope="module")
 def e(spark):
-    engine = Engine(spark, now=dt.datetime(2026, 8, 7, 12, 30, tzinfo=dt.timezone(dt.timedelta(hours=10))))
+    engine = Engine(spark, now=dt.datetime(2025, 3, 1, 6, 15, tzinfo=dt.timezone(dt.timedelta(hours=-5))))
     engine.register("Events", spark.createDataFrame(ROWS, "RawData string, host string, user string, message string, Source string"), {"RawData"})
     return engine
 
@@ -27,38 +32,39 @@ def rows(e, q):
 
 
 def test_arrays(e):
-    assert rows(e, "Events | mv-expand with_itemindex=I Item=RawData.items limit 2 | project Item, I | order by I asc") == [{"Item": 1, "I": 0}, {"Item": 2, "I": 1}]
-    assert rows(e, "Events | mv-expand Item=RawData.items to typeof(long) | summarize t=sum(Item)") == [{"t": 6}]
-    assert rows(e, "Events | mv-apply Item=RawData.items on (where Item > 1 | extend Doubled=Item * 2) | project Item, Doubled | order by Item asc") == [{"Item": 2, "Doubled": 4}, {"Item": 3, "Doubled": 6}]
+    assert rows(e, "Events | mv-expand with_itemindex=at size=RawData.sizes limit 3 | project at, size | order by at asc") == [{"at": 0, "size": 4}, {"at": 1, "size": 9}, {"at": 2, "size": 2}]
+    assert rows(e, "Events | mv-expand size=RawData.sizes to typeof(long) | summarize n=count(), total=sum(size) by host") == [{"host": "dock-7", "n": 4, "total": 24}]
+    assert rows(e, "Events | mv-apply size=RawData.sizes on (extend half=size / 2 | where half >= 2) | project size, half | order by size desc, half asc") == [{"size": 9, "half": 4}, {"size": 9, "half": 4}, {"size": 4, "half": 2}]
 
 
 def test_paths(e):
-    assert rows(e, 'Events | where host == "pc-1" | project First=tostring(RawData.tags[0]), V=tostring(RawData["field.with.dots"]), gone=RawData.x.y, nul=RawData.a.b') == [{"First": "first", "V": "value", "gone": None, "nul": None}]
-    assert rows(e, "Events | where RawData.n == 9007199254740993 | project host") == [{"host": "pc-2"}]
+    assert rows(e, 'Events | where host endswith "7" | project second=tostring(RawData.label[1]), unit=tostring(RawData["unit.of.size"]), name=RawData.who.name, none=RawData.who.age.years') == [{"second": "red", "unit": "kg", "name": None, "none": None}]
+    assert rows(e, "Events | where RawData.serial == 18014398509481985 | project host") == [{"host": "dock-8"}]
+    assert rows(e, "Events | where RawData.serial == 18014398509481984 | count") == [{"Count": 0}]
 
 
 def test_names(e):
-    assert e.compile("Events | project user, host | join kind=inner (Events | project user, host, message) on user").columns == ["user", "host", "user1", "host1", "message"]
-    assert e.compile("Events | project-away Source, message | project-rename Computer=host | project-keep user, Computer, RawData").columns == ["RawData", "Computer", "user"]
-    assert e.compile("Events | summarize count(), sum(strlen(message)), make_set(user), countif(true) by host").columns == ["host", "count_", "sum_", "set_user", "countif_"]
-    assert e.compile("Events | extend HOST2=Host").columns[-1] == "HOST2"
+    assert e.compile("Events | project host, user | join kind=inner (Events | project host, user, Source) on host").columns == ["host", "user", "host1", "user1", "Source"]
+    assert e.compile("Events | project-away RawData, user | project-rename place=host | project-keep message, place").columns == ["place", "message"]
+    assert e.compile("Events | summarize max(strlen(user)), count(), make_list(host), countif(user == 'x') by Source").columns == ["Source", "max_", "count_", "list_host", "countif_"]
+    assert e.compile("Events | extend WHERE2=HOST").columns[-1] == "WHERE2"
 
 
 def test_operators(e):
-    assert rows(e, 'Events | where user in~ ("ADMIN") and message has_all ("powershell", "alpha") | project user') == [{"user": "Admin"}]
-    assert rows(e, 'Events | search "powershell" and not "guest" | project host') == [{"host": "pc-1"}]
-    assert rows(e, "Events | as L | join kind=inner (L) on host | count") == [{"Count": 2}]
-    assert len(rows(e, "Events | sample 1 | project host")) == 1
-    assert rows(e, "let n = 1; let T = Events | where host == 'pc-2'; t | take n | project host") == [{"host": "pc-2"}]
-    assert rows(e, "Events | summarize Users=make_list(user), U=make_set(user) by host | order by host asc")[0] == {"host": "pc-1", "Users": ["Admin"], "U": ["Admin"]}
-    assert rows(e, 'Events | extend host="new" | project host | take 1') == [{"host": "new"}]
-    assert rows(e, "Events | where isnull(host) | summarize s=make_set(user), n=sum(strlen(user)), c=count()") == [{"s": [], "n": None, "c": 0}]
-    assert rows(e, 'Events | project a=@"c:\\x", b=h"secret", c=```multi\nline```, d=\'q"\', t=2 // note\n | take 1') == [{"a": "c:\\x", "b": "secret", "c": "multi\nline", "d": 'q"', "t": 2}]
+    assert rows(e, 'Events | where user in~ ("NORA") and message has_all ("CRATE", "seal") | project host') == [{"host": "dock-7"}]
+    assert rows(e, 'Events | search "nora" and not "crate" | project host') == [{"host": "dock-9"}]
+    assert rows(e, "Events | as all_ | join kind=inner (all_ | where Source == 'gate') on user | count") == [{"Count": 3}]
+    assert len(rows(e, "Events | sample 2 | distinct host")) == 2
+    assert rows(e, "let most = 1; let Yard = Events | where Source == 'yard'; yard | take most | project host") == [{"host": "dock-9"}]
+    assert rows(e, "Events | summarize places=make_list(host), who=make_set(user) by Source | order by Source desc")[0] == {"Source": "yard", "places": ["dock-9"], "who": ["Nora"]}
+    assert rows(e, 'Events | extend user=strcat(user, "!") | distinct user | order by user asc') == [{"user": "Nora!"}, {"user": "omar!"}]
+    assert rows(e, "Events | where isnull(user) | summarize who=make_set(user), n=count(), long=sum(strlen(user))") == [{"who": [], "n": 0, "long": None}]
+    assert rows(e, "Events | project path=@'d:\\in', key=h'pin', text=```two\nlines```, quoted=\"it's\", five=5 // the end\n | take 1") == [{"path": "d:\\in", "key": "pin", "text": "two\nlines", "quoted": "it's", "five": 5}]
 
 
 def test_clock(e):
-    got = rows(e, 'Events | extend C=now(), P=ago(1d), F=todatetime("2026-01-02T03:04:05Z") | project C, P, F | take 1')[0]
-    assert got == {"C": "2026-08-07T02:30:00.000000000Z", "P": "2026-08-06T02:30:00.000000000Z", "F": "2026-01-02T03:04:05.000000000Z"}
+    got = rows(e, 'Events | project today=now(), before=ago(36h), then=todatetime("2025-02-28T23:00:00+01:00"), later=now() + 90m | take 1')[0]
+    assert got == {"today": "2025-03-01T11:15:00.000000000Z", "before": "2025-02-27T23:15:00.000000000Z", "then": "2025-02-28T22:00:00.000000000Z", "later": "2025-03-01T12:45:00.000000000Z"}
 
 
 def test_collections_are_bounded(spark):

@@ -137,5 +137,5 @@ def n_groups(pattern: str) -> int:
 
 
 def term(text: str, left: bool = True, right: bool = True, sensitive: bool = False) -> str:
-    """Java pattern of a literal term; boundaries are anything but ASCII letters and digits."""
-    return ("" if sensitive else "(?iu)") + (r"(?:^|[^A-Za-z0-9])" if left else "") + quote(text) + (r"(?:[^A-Za-z0-9]|\z)" if right else "")
+    """Java pattern of a literal term; boundaries are anything but ASCII letters and digits. The literal stands first, as it fails fastest."""
+    return ("" if sensitive else "(?iu)") + quote(text) + (rf"(?<![A-Za-z0-9]{quote(text)})" if left else "") + (r"(?![A-Za-z0-9])" if right else "")

@@ -216,15 +216,20 @@ def _dotted(e: Node) -> str | None:
     return None
 
 
+def folded(t: Column) -> Column:
+    """Lower case in which ASCII letters stand for all their simple case variants: the long s and the Kelvin sign, but no dotted capital i."""
+    return F.replace(F.lower(F.replace(t, F.lit("\u0130"), F.lit("\u0131"))), F.lit("\u017f"), F.lit("s"))
+
+
 def term_match(t: Column, wanted: str, left: bool = True, right: bool = True, sensitive: bool = False) -> Column:
     """A term with boundaries; plain containment is tested first, as it is cheap and rarely true."""
     if not wanted:
         return F.lit(False)
     if sensitive:
         match = F.contains(t, F.lit(wanted)) & t.rlike(term(wanted, left, right, True))
-    elif wanted.isascii() and not set(wanted.lower()) & {"k", "s", "i"}:
-        # only k, s and i have case variants beyond ASCII; other terms are matched in lower case, without slow folding
-        low, small = F.lower(t), wanted.lower()
+    elif wanted.isascii():
+        # matched in lower case, without slow folding
+        low, small = folded(t), wanted.lower()
         match = F.contains(low, F.lit(small)) & low.rlike(term(small, left, right, True))
     else:
         match = t.rlike(term(wanted, left, right, False))

@@ -14,7 +14,7 @@ from trailspark.functions.values import BOOL, DATETIME, DYNAMIC, LONG, NULL, STR
 from trailspark.plans.errors import QueryError
 from trailspark.plans.nodes import Binary, Call, Item, Literal, Member, Name, Node, Operator, Pipeline, Script, Unary
 
-from .expressions import Binder, term_match
+from .expressions import Binder, folded, term_match
 from .joins import join
 from .relation import ColumnInfo, Relation
 
@@ -83,10 +83,10 @@ class Lowering:
             out = parts[0]
             for x in parts[1:]:
                 out = out | x
-            if rel.raw is not None and len(wanted) >= 3 and wanted.isascii() and wanted.isalnum() and not set(wanted.lower()) & {"k", "s", "i"}:
-                # every searched column is part of the record, its time or its source
-                columns = [F.lower(F.col(rel.raw))] + [F.lower(values.text(Value(c.column(), c.type))) for c in rel.columns if c.name in ("TimeGenerated", "Source")]
-                near = F.contains(columns[0], F.lit(wanted.lower()))
+            if rel.raw is not None and len(wanted) >= 3 and wanted.isascii() and wanted.isalnum():
+                # every searched column is part of the record, its time or its source; a record may write any letter as an escape
+                columns = [folded(F.col(rel.raw))] + [folded(values.text(Value(c.column(), c.type))) for c in rel.columns if c.name in ("TimeGenerated", "Source")]
+                near = F.contains(columns[0], F.lit(wanted.lower())) | F.contains(F.col(rel.raw), F.lit("\\u"))
                 for x in columns[1:]:
                     near = near | F.contains(x, F.lit(wanted.lower()))
                 out = F.coalesce(near, F.lit(False)) & out

@@ -70,8 +70,9 @@ KQL: dict[str, tuple[str, str | None]] = {
     "top": ("let n = 10; orders | top n by o_totalprice desc, o_orderkey asc | project o_orderkey, o_totalprice", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10"),
     "take": ("orders | order by o_orderkey asc | take 25 | project o_orderkey", "select o_orderkey from orders order by o_orderkey limit 25"),
     "limit": ("customer | order by c_custkey asc | limit 7 | project c_custkey", "select c_custkey from customer order by c_custkey limit 7"),
-    "sample": ("orders | sample 20 | count", 'select 20::bigint as "Count"'),
-    "sample_distinct": ("customer | sample-distinct 3 of c_mktsegment | count", 'select 3::bigint as "Count"'),
+    # what is drawn is chance; that it is as many different rows of the table as asked for is not
+    "sample": ("let s = orders | sample 20 | project o_orderkey; s | join kind=inner (orders | project o_orderkey, o_custkey) on o_orderkey | where o_custkey > 0 | distinct o_orderkey | count", 'select least(20, count(distinct o_orderkey))::bigint as "Count" from orders where o_custkey > 0'),
+    "sample_distinct": ("let s = customer | sample-distinct 3 of c_mktsegment; s | join kind=leftsemi (customer) on c_mktsegment | distinct c_mktsegment | count", 'select least(3, count(distinct c_mktsegment))::bigint as "Count" from customer'),
     "as_self_join": ("nation | as n | join kind=inner (n | project n_regionkey, peer=n_name) on n_regionkey | project n_name, peer", "select a.n_name, b.n_name as peer from nation a join nation b on a.n_regionkey = b.n_regionkey"),
     "let": ('let floor = 400000; let big = orders | where o_totalprice > floor; big | summarize n=count() by o_orderstatus', "select o_orderstatus, count(*) n from orders where o_totalprice > 400000 group by 1"),
     "union": ("customer | project key=c_custkey, name=c_name | union (supplier | project s_suppkey, s_name)", "select c_custkey as key, c_name as name from customer union all select s_suppkey, s_name from supplier"),
@@ -83,7 +84,7 @@ KQL: dict[str, tuple[str, str | None]] = {
         "select a.k, b.k as k1, o_orderkey from (select c_custkey as k from customer where c_acctbal > 0) a full join (select o_custkey as k, o_orderkey from orders where o_totalprice > 300000) b on a.k = b.k",
     ),
     "join_leftsemi": ("customer | project c_custkey | join kind=leftsemi (orders | where o_totalprice > 400000) on $left.c_custkey == $right.o_custkey", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)"),
-    "join_leftanti": ("customer | project c_custkey | join kind=leftanti (orders) on $left.c_custkey == $right.o_custkey", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
+    "join_leftanti": ("customer | project c_custkey | join kind=leftanti (orders | where o_totalprice > 250000) on $left.c_custkey == $right.o_custkey", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)"),
     "lookup": ("customer | project c_custkey, n_nationkey=c_nationkey | lookup kind=leftouter (nation | project n_nationkey, n_name) on n_nationkey", "select c_custkey, c_nationkey::bigint as n_nationkey, n_name from customer left join nation on c_nationkey = nation.n_nationkey"),
     "lookup_inner": ("nation | lookup kind=inner (region | where r_name startswith 'a') on $left.n_regionkey == $right.r_regionkey | project n_name, r_name", "select n_name, r_name from nation join region on n_regionkey = r_regionkey where lower(r_name) like 'a%'"),
     "search": ('documents | search "license" | project doc_id', "select doc_id from documents where regexp_matches(text, '(?i)(^|[^A-Za-z0-9])license([^A-Za-z0-9]|$)') or regexp_matches(source, '(?i)(^|[^A-Za-z0-9])license([^A-Za-z0-9]|$)') or regexp_matches(lang, '(?i)(^|[^A-Za-z0-9])license([^A-Za-z0-9]|$)')"),
@@ -105,7 +106,7 @@ KQL: dict[str, tuple[str, str | None]] = {
     "json_functions": ("events | project event_id, n=array_length(props), keys=tostring(bag_keys(props)), has=bag_has_key(props, 'k'), no=bag_has_key(props, '$.k.x')", "select event_id, null::bigint n, '[\"' || array_to_string(list_sort(json_keys(props)), '\",\"') || '\"]' as keys, list_contains(json_keys(props), 'k') has, false as no from events"),
     "parse_json": ("part | extend j=parse_json(strcat('{\"a\":[', tostring(p_size), ',2],\"b\":{\"c\":', tostring(p_partkey), '}}')) | project p_partkey, first=tolong(j.a[0]), n=array_length(j.a), c=tolong(j.b.c), inside=set_has_element(j.a, 2.0), one=set_has_element(j.a, p_size)", "select p_partkey, p_size::bigint as first, 2::bigint n, p_partkey c, true inside, true as one from part"),
     "mv_expand": ("customer | mv-expand with_itemindex=i word=split(c_mktsegment, 'I') to typeof(string) | project c_custkey, i, word", "select c_custkey, unnest(range(len(w)))::bigint as i, unnest(w) as word from (select c_custkey, string_split(c_mktsegment, 'I') w from customer)"),
-    "mv_expand_limit": ("embeddings | mv-expand with_itemindex=i x=embedding limit 3 | project vec_id, i", "select vec_id, unnest(range(3))::bigint as i from embeddings"),
+    "mv_expand_limit": ("embeddings | mv-expand with_itemindex=i x=embedding limit 3 | project vec_id, i, up=todouble(x) > 0.0, far=todouble(x) > 0.05", "select vec_id, i, x > 0 as up, x > 0.05 as far from (select vec_id, unnest(range(3))::bigint as i, unnest(embedding[1:3])::double as x from embeddings)"),
     "mv_apply": ("embeddings | mv-apply x=embedding on (where x > 0.0 | extend big=x > 0.1) | summarize n=count(), b=countif(big) by vec_id", "select vec_id, count(*) n, count(*) filter (x > 0.1) b from (select vec_id, unnest(embedding)::double x from embeddings) where x > 0 group by 1"),
     "datetime": ('events | where ts >= datetime("2024-01-05T00:00:00Z") and ts < datetime("2024-01-20") | project event_id, ts', "select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20'"),
     "now_ago": ("events | where ts > ago(150d) and ts <= now() | project event_id, w=ts + 1h", "select event_id, ts + interval 1 hour as w from events where ts > timestamp '2024-06-01' - interval 150 day and ts <= timestamp '2024-06-01'"),
@@ -124,7 +125,10 @@ KQL: dict[str, tuple[str, str | None]] = {
         from (select o_orderkey, o_custkey % 256 a, o_orderkey % 256 b, o_custkey % 300 d from orders)""",
     ),
     "make_set": ("events | summarize types=make_set(event_type), n=count() by user_id", "select user_id, '[' || string_agg(distinct '\"' || event_type || '\"', ',' order by '\"' || event_type || '\"') || ']' types, count(*) n from events group by 1"),
-    "make_list": ("events | summarize n=array_length(make_list(event_id)) by user_id", "select user_id, least(count(*), 1000)::bigint n from events group by 1"),
+    "make_list": (
+        "orders | summarize l=make_list(o_orderkey), m=count() by o_custkey | where m <= 1000 | mv-expand x=l to typeof(long) | summarize n=count(), total=sum(x), least=min(x), most=max(x) by o_custkey",
+        "select o_custkey, count(*) n, sum(o_orderkey)::bigint total, min(o_orderkey) least, max(o_orderkey) most from orders group by 1 having count(*) <= 1000",
+    ),
     "top_customers": (
         "orders | join kind=inner (customer) on $left.o_custkey == $right.c_custkey | join kind=inner (nation) on $left.c_nationkey == $right.n_nationkey | summarize n=count(), biggest=max(o_totalprice) by n_name, c_mktsegment | order by n desc",
         "select n_name, c_mktsegment, count(*) n, max(o_totalprice) biggest from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
@@ -140,6 +144,8 @@ def _scratch(spark: SparkSession) -> str:
     """A folder that all executors see; a local one where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='trailspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/import-{uuid.uuid4().hex}"
@@ -164,6 +170,9 @@ def _imported(format_: str, query: str, tables: tuple[str, ...] = ("Log",)) -> C
             elif format_ == "array":
                 # one array a file: lines are objects, and the first and last carry the brackets
                 part.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(8))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*part.columns))), ","), F.lit("]")).alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+            elif format_ == "escaped":
+                # the first letter of the type is written as an escape
+                part.select(F.concat(F.lit('{"ts":"'), "ts", F.lit('","origin":"'), "origin", F.lit('","event_id":'), F.col("event_id").cast("string"), F.lit(',"event_type":"\\u'), F.lpad(F.hex(F.ascii("event_type")), 4, "0"), F.expr("substr(event_type, 2)"), F.lit('"}')).alias("value")).write.text(path)
             else:
                 part.select(F.to_json(F.struct(*part.columns)).alias("value")).write.text(path, compression="gzip" if format_ == "gzip" else "none")
             datasets.append(DatasetConfig(f"d{n}", table, path, "csv" if format_ == "csv" else "json", "", "origin", "ts"))
@@ -176,25 +185,52 @@ def _imported(format_: str, query: str, tables: tuple[str, ...] = ("Log",)) -> C
 
 _LOG = "Log | where props.k >= 50 | summarize n=count(), lo=min(TimeGenerated), hi=max(TimeGenerated), sources=tostring(make_set(Source)) by event_type"
 _LOG_SQL = "select event_type, count(*) n, min(ts) lo, max(ts) hi, '[\"' || string_agg(distinct 'src-' || user_id % 3, '\",\"' order by 'src-' || user_id % 3) || '\"]' sources from events where try_cast(json_extract_string(props, '$.k') as double) >= 50 group by 1"
+_TIMES_SQL = "select event_id as id, 's' || event_id % 4 as \"Source\", case event_id % 4 when 0 then ts when 2 then date_trunc('millisecond', ts) else date_trunc('second', ts) end as \"TimeGenerated\" from events"
 IMPORTED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "import_ndjson": (_imported("json", _LOG), _LOG_SQL),
     "import_gzip": (_imported("gzip", _LOG), _LOG_SQL),
     "import_csv": (_imported("csv", _LOG), _LOG_SQL),
     "import_json_array": (_imported("array", _LOG), _LOG_SQL),
     "events_union": (_imported("json", "Events | project id=tolong(event_id), Source, event_type", ("Left", "Right")), "select event_id as id, 'src-' || user_id % 3 as \"Source\", event_type from events"),
+    "events_search_escaped": (_imported("escaped", 'Log | search "purchase" | project id=tolong(event_id), TimeGenerated'), 'select event_id as id, ts as "TimeGenerated" from events where event_type = \'purchase\''),
     "events_search": (_imported("json", 'Events | search "purchase" | project id=tolong(event_id), TimeGenerated', ("Left", "Right")), 'select event_id as id, ts as "TimeGenerated" from events where event_type = \'purchase\''),
 }
 
 
+#: Timestamp format -> expression that writes an event's time so.
+TIME_FORMATS = {
+    "rfc3339": "date_format(ts + interval 2 hours, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'\")",
+    "unix": "cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts) / 1000000) as bigint)",
+    "unix_ms": "cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts) / 1000) as bigint)",
+    "Jan 2, 2006 at 15:04:05 -0700": "date_format(ts, \"MMM d, yyyy 'at' HH:mm:ss '+0000'\")",
+}
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the events in each timestamp format."""
+    from trailspark.sources.ingest import Workspace
+    from trailspark.sources.manifest import DatasetConfig, Manifest
+
+    folder, datasets = _scratch(spark), []
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for n, (name, column) in enumerate(TIME_FORMATS.items()):
+        events.where(F.col("event_id") % 4 == n).select(F.to_json(F.struct(F.expr(column).alias("at"), "event_id")).alias("value")).write.text(f"{folder}/in-{n}")
+        datasets.append(DatasetConfig(f"d{n}", f"T{n}", f"{folder}/in-{n}", "json", f"s{n}", "", "at", name))
+    workspace = Workspace(spark, f"{folder}/workspace")
+    workspace.load(Manifest(datasets=tuple(datasets)))
+    return Engine(spark, workspace.catalog(), NOW).compile("Events | project id=tolong(event_id), Source, TimeGenerated").df
+
+
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailspark.operators.timeline import histogram
 
     return histogram(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _kql(text) for name, (text, _) in KQL.items()} | {name: run for name, (run, _) in IMPORTED.items()} | {"timeline_histogram": _histogram}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _kql(text) for name, (text, _) in KQL.items()} | {name: run for name, (run, _) in IMPORTED.items()} | {"import_time_formats": _times, "timeline_histogram": _histogram}
 
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in KQL.items() if sql} | {name: sql for name, (_, sql) in IMPORTED.items()} | {
+    "import_time_formats": _TIMES_SQL,
     "timeline_histogram": """with r as (select min(ts) lo, max(ts) hi, least(24, ceil(sqrt(count(*))))::bigint k from events),
     b as (select least(floor((epoch_us(ts) - epoch_us(lo)) / (greatest(epoch_us(hi) - epoch_us(lo), 1)::double / k)), k - 1)::bigint bucket from events, r)
     select bucket, count(*) n from b group by 1"""

@@ -47,6 +47,11 @@ def first_byte(spark: SparkSession, path: str) -> str:
     return row[0] if row else ""
 
 
+def expanded_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all lines, packed files expanded; lines are streamed, so a bomb costs time and no memory."""
+    return int(spark.read.text(path).agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0)
+
+
 def records(spark: SparkSession, path: str, format_: str, limit: int = MAX_INPUT) -> DataFrame:
     if format_ == "json" and first_byte(spark, path) != "[":
         return ndjson(spark, path)
@@ -55,15 +60,25 @@ def records(spark: SparkSession, path: str, format_: str, limit: int = MAX_INPUT
 
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines in file order; blank ones do not count."""
-    lines = spark.read.text(path).select(F.trim(F.translate("value", "\r\t", "  ")).alias("t"), F.rtrim(F.col("value"), F.lit("\r")).alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    lines = spark.read.text(path).select(F.trim(F.translate("value", "\r\t", "  ")).alias("t"), F.trim(F.rtrim(F.col("value"), F.lit("\r"))).alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.where("t <> ''")
-    # one row a split, so the sums are small
-    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("m").alias("least"))
-    before = splits.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # ids of a split rise with its lines, blank lines included, so lines are ranked within it
-    ranked = lines.join(F.broadcast(before.select(F.col("file").alias("f"), F.col("block").alias("b"), "before")), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
-    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("m"))
-    return ranked.select((F.col("before") + number).cast("long").alias("record_no"), F.trim(F.col("raw")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = lines.select("raw", "file", "block").mapInArrow(_numbered, "raw string, file string, block long, number long")
+    # one row a split is sent, so at most the input limit over the split size; no line is shuffled
+    placed = numbered.join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return placed.select((F.col("before") + F.col("number")).cast("long").alias("record_no"), "raw", F.lit(None).cast("string").alias("error"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their number in their split; a task reads each of its splits in order."""
+    seen: dict[tuple[str, int], int] = {}
+    for b in batches:
+        number = []
+        for at in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), strict=True):
+            seen[at] = seen.get(at, 0) + 1
+            number.append(seen[at])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=["raw", "file", "block", "number"])
 
 
 def _whole_files(spark: SparkSession, path: str, format_: str, limit: int) -> DataFrame:

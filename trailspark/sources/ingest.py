@@ -22,7 +22,7 @@ from trailspark.operators.relation import ColumnInfo, Relation
 
 from . import discover, jsontext, times
 from .catalog import Catalog
-from .formats import MAX_EVENT, MAX_INPUT, InputError, records
+from .formats import MAX_EVENT, MAX_INPUT, InputError, expanded_size, records
 from .manifest import DatasetConfig, Manifest
 from .store import Store
 
@@ -50,7 +50,7 @@ class Dataset:
         return {tuple(k.split("\0")): v for k, v in self.fields.items()}
 
 
-def signature(config: DatasetConfig, size: int, changed: int) -> str:
+def signature(config: DatasetConfig, size: int, changed: str) -> str:
     return hashlib.sha256(json.dumps([asdict(config), size, changed], sort_keys=True).encode()).hexdigest()
 
 
@@ -203,7 +203,8 @@ class Workspace:
         if config.table.lower() == "events":
             raise InputError("table Events is reserved")
         spark = self.spark
-        if not config.path.lower().endswith(".gz") and self.store.stat(config.path)[0] > self.max_input:
+        packed = any(name.lower().endswith(".gz") for name, *_ in self.store.files(config.path)) or config.path.lower().endswith(".gz")
+        if not packed and self.store.stat(config.path)[0] > self.max_input or packed and config.format == "json" and expanded_size(spark, config.path) > self.max_input:
             raise InputError(f"expanded input exceeds the {self.max_input} byte limit")
         if config.format != "json" and self.store.stat(config.path)[0] == 0:
             raise InputError(f"decode {config.format} input: the file is empty")

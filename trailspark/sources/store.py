@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -33,25 +36,47 @@ class Store:
         if not fs.rename(p, self._path(new)):
             raise OSError(f"cannot rename {old} to {new}")
 
-    def stat(self, path: str) -> tuple[int, int]:
-        """(size, time of change in ms) of a file or folder."""
+    def files(self, path: str) -> list[tuple[str, int, int]]:
+        """(name below the path, size, time of change in ms) of a file, or of every file of a folder."""
+        fs, p = self._at(path)
+        found, out = fs.listFiles(p, True), []
+        root = fs.makeQualified(p).toString()
+        while found.hasNext():
+            s = found.next()
+            out.append((s.getPath().toString().removeprefix(root), s.getLen(), s.getModificationTime()))
+        return sorted(out)
+
+    def stat(self, path: str) -> tuple[int, str]:
+        """(size, digest of all files' names, sizes and times) of a file or folder."""
+        files = self.files(path)
+        return sum(n for _, n, _ in files), hashlib.sha256(repr(files).encode()).hexdigest()
+
+    def _versions(self, path: str) -> list[int]:
         fs, p = self._at(path)
-        return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+        if not fs.exists(p.getParent()):
+            return []
+        names = [s.getPath().getName().removeprefix(p.getName() + ".") for s in fs.listStatus(p.getParent())]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def read_text(self, path: str) -> str | None:
-        if not self.exists(path):
+        """The newest version."""
+        versions = self._versions(path)
+        if not versions:
             return None
-        return "\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
+        return "\n".join(r[0] for r in self.spark.read.text(f"{path}.{versions[-1]}", wholetext=True).collect())
 
     def write_text(self, path: str, text: str) -> None:
-        """Written beside and renamed, so a reader sees the old text or the new."""
-        fs, p = self._at(path + ".new")
+        """A whole file that is renamed to the next version, so that at any time the newest version is whole; the one before it stays."""
+        versions = self._versions(path)
+        fs, p = self._at(f"{path}.{uuid.uuid4().hex}.new")
         out = fs.create(p, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        target = self._path(path)
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(p, target)
+        number = versions[-1] + 1 if versions else 1
+        if not fs.rename(p, self._path(f"{path}.{number}")):
+            fs.delete(p, False)
+            raise OSError(f"version {number} of {path} was written by another")
+        for old in versions[:-1]:
+            fs.delete(self._path(f"{path}.{old}"), False)
