@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm import decontaminate, mixing, ngram_join, tokens, toxicity
-from trailspark.llm._store import materialize, read, release
+from trailspark.llm._store import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -69,5 +69,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{n}")
-        release(spark)
     return docs
