@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: At most so many keys are broadcast as hot ones.
+HOT = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), a local one."""
+    """The cluster's shared folder; only where all work is done in one process (tests), a local one."""
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='trailspark-')}"
         spark.conf.set(_KEY, base)
     return base.rstrip("/")
@@ -25,11 +30,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trailspark-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back."""
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame as Parquet and read it back; what the write shuffled is dropped."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    # what the write shuffled is not needed once the table stands
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -39,15 +47,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame into the shared folder and read it back."""
+    return write(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Intermediate tables of one run, in a folder of their own; each is deleted once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return write(df, f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            delete(self.spark, f"{self.path}/{n}")
+
 
+def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int, how: str = "left", hot: int = HOT, least: int = 1000) -> DataFrame:
+    """Rows with the columns of a table that has one row a key; on: column of rows -> column of table.
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch of long texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    ``count`` holds how many rows have a key, and all of them are ``total`` at
+    most. Keys of more than total / HOT rows are therefore fewer than HOT: they
+    are broadcast, and their rows stay where they are. No other key brings more
+    than total / HOT rows (``least`` at least) to one task of the shuffled join.
+    """
+    edge = max(least, -(-total // hot))
+    same = lambda t: [F.col(a) == F.col(b) for a, b in on.items()]
+    often, seldom = table.where(F.col(count) > edge), table.where(F.col(count) <= edge)
+    at_hand = rows.join(F.broadcast(often), same(often), "inner")
+    keys = often.select(*[F.col(b).alias(f"__{i}") for i, b in enumerate(on.values())])
+    rest = rows.join(F.broadcast(keys), [F.col(a) == F.col(f"__{i}") for i, a in enumerate(on)], "left_anti").join(seldom, same(seldom), how)
+    return at_hand.unionByName(rest)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 Large-star links every larger neighbour of a node to the node's smallest
 neighbour; small-star links a node and its smaller neighbours to the smallest of
-them. Both are an aggregation and an equi-join on the node, so a hub's
-neighbours are never gathered in one place. The rounds end when the edges no
-longer change; then every node is linked to its component's smallest node.
-Each round is written to shared storage, which cuts its lineage.
+them. Both are an aggregation and a ``lookup`` of the node, which keeps nodes of
+very many edges out of the shuffle, so a hub's neighbours are never gathered in
+one place. The rounds end when the edges no longer change; then every node is
+linked to its component's smallest node. Each round is written to shared
+storage, which cuts its lineage, and the round before it is deleted.
+
+Defined results: edges from a node to itself and edges with a null end count for
+nothing; repeated edges count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import Scratch, lookup
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -22,27 +26,34 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["h"] or 0)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """Edges with the smallest b of their a."""
+    least = edges.groupBy(F.col("a").alias("m_a")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    return lookup(edges, least, {"a": "m_a"}, "degree", most, "inner").select("a", "b", "m")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("m_a")).agg(F.min("b").alias("m"))
-    return both.join(least, F.col("a") == F.col("m_a")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+    return _with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy(F.col("a").alias("m_a")).agg(F.min("b").alias("m"))
-    joined = down.join(least, F.col("a") == F.col("m_a")).select("a", "b", "m")
-    return joined.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("m_a").alias("a"), F.col("m").alias("b"))).distinct()
+    tied = _with_least(down, n)
+    return tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge, but the roots themselves; edges: columns a, b of long."""
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round0")
     before = _state(now)
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         if not before[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "stars")
+        # a star has no more edges than what it is made from
+        now = scratch.table(_small_star(_large_star(now, before[0]), 2 * before[0]), f"round{i}")
+        scratch.drop(f"round{i - 1}")
         after = _state(now)
         if after == before:
             break

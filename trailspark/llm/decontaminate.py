@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
 from ._text import ALNUM, Words, scan, slices
 
 SLICE_BYTES = 16 << 20
@@ -172,7 +171,6 @@ def _indexes(d: DataFrame, benchmark: DataFrame, k: int, slice_bytes: int, item_
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, hits (merged word spans that item windows cover) and item_ids (sorted)."""
-    small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = [_search(d, index, several) for index, several in _indexes(d, benchmark, k, slice_bytes, item_id, item_text)]
     return parts[0].drop("text_key") if len(parts) == 1 else _merge(parts)
@@ -180,7 +178,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_byte
 
 def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents without a hit, filtered where they are read, slice after slice."""
-    small_batches(docs.sparkSession)
     out = docs.select(*columns)
     for index, _ in _indexes(out.select("doc_id", "text"), benchmark, k, slice_bytes, "item_id", "text"):
         out = out.mapInArrow(_unhit(out.sparkSession.sparkContext.broadcast(pickle.dumps(index))), out.schema)

@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
 from ._text import column_bytes, slices
 
 SIDE = 24
@@ -287,7 +286,6 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes and the GIF that stores its bytes."""
-    small_batches(docs.sparkSession, 256)
 
     def run(batches):
         for b in slices(batches, "text"):

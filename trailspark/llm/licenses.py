@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
 from ._text import ALNUM, Words, scan, slices
 from .licence_texts import TEXTS
 
@@ -281,7 +280,6 @@ _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.in
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: word count, base places and the template spans (words from 0, end exclusive)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         own = scanner() if templates is None else Scanner(templates)

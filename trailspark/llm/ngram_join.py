@@ -1,25 +1,29 @@
 """N-gram Jaccard join: exact links between documents' shingle sets, and their components.
 
-1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one class,
-   kept by its smallest id.
-2. Shingles are counted over the corpus: they are sent to hash buckets as packed
-   arrays, and each bucket answers only those that two or more documents hold.
-   A set's other shingles can be in no intersection, so they travel no further.
-3. Prefix: under the global order (count, hash), two sets that link share one of
+1. Each text becomes a set of 64-bit shingle hashes, and chunks of texts become
+   rows of packed arrays. Equal sets are one class, kept by its smallest id.
+2. Shingles are counted over the corpus: each chunk sends each of its shingles
+   once to a hash bucket, which answers with a rank for each, by the number of
+   sets that hold it. So a shingle costs its bucket one entry a chunk, however
+   many documents hold it. A shingle of one set can be in no intersection.
+3. Prefix: under the global order (rank, hash), two sets that link share one of
    the first ``n - ceil(threshold * n) + 1`` shingles of each. Unshared shingles
    come first in that order, so most documents have no candidate at all.
 4. Prefix shingles, split by size band (links join equal or adjacent bands), tie
    candidates into blocks: connected components of the prefix graph.
-5. Blocks are cut into size-banded tiles of bounded documents and shingles. In a
-   pair of tiles, hashed bitmaps bound each overlap from above by bit counts:
+5. Blocks are cut into size-banded tiles of bounded documents and shingles. A
+   block whose prefix shingles are held by few documents each, such as a chain of
+   weak candidates, is cut by prefix shingle instead: whichever compares less.
+   In a pair of tiles, hashed bitmaps bound each overlap from above by bit counts:
    |A and B| <= (|A| + |B| - |bits(A) xor bits(B)|) / 2. Survivors are decided by
    exact intersection of sorted arrays. Pairs of sets already connected in the
    tile need no decision.
-6. Links and classes give the components.
+6. Links give the components of the classes, and classes those of the documents.
 
-No step gathers a frequent shingle's documents, a class or a block in one task:
-counts travel as arrays by hash, hubs are joined, and a block of any size is
-dealt as tile pairs.
+Classes, prefix shingles and components of any size are found by aggregation and
+by ``lookup``, which keeps hot keys out of the shuffle, and a block of any size is
+dealt as tile pairs; none of them is gathered in one task. Partitions are bounded
+by PARTITIONS; a task works bucket by bucket.
 
 Defined results: null, empty and blank texts have the empty set and link with
 nothing; a null id takes no part (its component is null); rows of equal id are
@@ -33,11 +37,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, release, small_batches
-from ._text import SPACED, chunks, groups, mix, pack, scan, spread, unpack, windows
+from ._store import Scratch, lookup
+from ._text import SPACED, chunks, groups, mix, pack, scan, unpack, windows
 from .components import components
 
 K = 5
@@ -47,7 +52,8 @@ BUCKET = 3_000_000
 TILE_DOCS = 1024
 TILE_SHINGLES = 1_000_000
 BITS = 512
-CHUNK = 4 << 20
+CHUNK = 8 << 20
+PARTITIONS = 16_384
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -76,146 +82,117 @@ def set_keys(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(_sums(mix(h + np.uint64(1)), counts)), mix(_sums(mix(h * np.uint64(3) + np.uint64(7)), counts))
 
 
-def _described(k: int):
-    def run(batches):
-        for b in chunks(batches, "text", CHUNK):
-            h, counts = shingle_sets(b.column("text"), k)
-            k1, k2 = set_keys(h, counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
-
-    return run
-
-
-_SENT = "bucket long, kind int, docs binary, keys binary, sizes binary, counts binary, low binary, high binary, rank binary"
-
-
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64() if n == "bucket" else pa.int32() if n == "kind" else pa.binary() for n in names]
+def _batch(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
     cols = list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-
-_NAMES = ["bucket", "kind", "docs", "keys", "sizes", "counts", "low", "high", "rank"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
 
 
-def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64) if buckets <= 65536 else (mix(h) % np.uint64(buckets)).astype(np.int64)
+_PACKED = "chunk long, docs binary, known binary, counts binary, k1 binary, k2 binary, own binary, members binary"
+_DESCRIBED = "chunk long, doc_id long, n long, k1 long, k2 long, own boolean"
 
 
-def _shingles(k: int, buckets: int):
-    """Chunks of text as one row a bucket: documents, counts and the low 48 bits of their shingles there."""
+def _packed(k: int):
+    """Chunks of text as one row each: ids, set sizes and digests of all rows, and the sets of those that are the first of their class in the chunk."""
+    names = {x.split()[0]: pa.int64() if x.endswith("long") else pa.binary() for x in _PACKED.split(", ")}
 
     def run(batches):
-        for b in chunks(batches, "text", CHUNK):
+        first = TaskContext.get().partitionId() << 32
+        for i, b in enumerate(chunks(batches, "text", CHUNK)):
             h, counts = shingle_sets(b.column("text"), k)
-            key, _ = set_keys(h, counts)
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(doc)), counts)
-            to = _bucket_of(h, buckets)
-            order = np.argsort(to.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
-            h, row, to = h[order], row[order], to[order]
-            rows = []
-            for s, e in groups(to):
-                spans = groups(row[s:e])
-                of = row[s:e][[a for a, _ in spans]]
-                rows.append((int(to[s]), 0, pack(doc[of], "<i8"), pack(key[of], "<u8"), pack(counts[of], "<u4"), pack(np.array([z - a for a, z in spans]), "<u4"), pack(h[s:e] & np.uint64(0xFFFFFFFF), "<u4"), pack(h[s:e] >> np.uint64(32) & np.uint64(0xFFFF), "<u2"), None))
-            if rows:
-                yield _rows(rows, _NAMES)
+            k1, k2 = set_keys(h, counts)
+            ids = b.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            live = np.flatnonzero(known & (counts > 0))
+            order = live[np.lexsort((doc[live], k2[live], k1[live], counts[live]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (counts[order][1:] != counts[order][:-1]) | (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+            own = np.zeros(len(doc), bool)
+            own[order[new]] = True
+            yield _batch([(first + i, pack(doc, "<i8"), pack(known, "u1"), pack(counts, "<u4"), pack(k1, "<u8"), pack(k2, "<u8"), pack(own, "u1"), pack(h[np.repeat(own, counts)], "<u8"))], names)
 
     return run
 
 
-def _shared(buckets: int):
-    """One bucket: the shingles that two or more sets hold, with the rank of their count, by document bucket."""
-
-    def run(key, table):
-        col = {n: table.column(n).to_pylist() for n in ("docs", "keys", "sizes", "counts", "low", "high")}
-        docs, keys, sizes, counts = unpack(col["docs"], "<i8"), unpack(col["keys"], "<u8"), unpack(col["sizes"], "<u4"), unpack(col["counts"], "<u4").astype(np.int64)
-        token = unpack(col["low"], "<u4").astype(np.uint64)
-        token |= unpack(col["high"], "<u2").astype(np.uint64) << np.uint64(32)
-        del col, table
-        order = np.argsort(token)
-        t = token[order]
-        first = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1) if len(t) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(t)))
-        rank = np.empty(len(t), np.uint8)
-        rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(times))).astype(np.uint8), times)
-        keep = rank > 0
-        del order, t, first, times
-        entry = np.repeat(np.arange(len(docs), dtype=np.uint32), counts)[keep]
-        token, rank = token[keep] | np.uint64(key[0].as_py() % 65536) << np.uint64(48), rank[keep]
-        to = spread(docs, buckets)[entry]
-        order = np.lexsort((entry, to))
-        to, entry, token, rank = to[order], entry[order], token[order], rank[order]
-        rows = []
-        for s, e in groups(to):
-            spans = groups(entry[s:e])
-            of = entry[s:e][[a for a, _ in spans]]
-            rows.append((int(to[s]), 0, pack(docs[of], "<i8"), pack(keys[of], "<u8"), pack(sizes[of], "<u4"), pack(np.array([z - a for a, z in spans]), "<u4"), pack(token[s:e] & np.uint64(0xFFFFFFFF), "<u4"), pack(token[s:e] >> np.uint64(32), "<u4"), pack(rank[s:e], "u1")))
-        return pa.Table.from_batches([_rows(rows, _NAMES)])
+def _describe(batches):
+    """One row a document of packed chunks."""
+    for b in batches:
+        for r in b.to_pylist():
+            doc, known = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["known"], "u1").astype(bool)
+            cols = [pa.array(np.full(len(doc), r["chunk"])), pa.array(doc, mask=~known), pa.array(np.frombuffer(r["counts"], "<u4").astype(np.int64)), pa.array(np.frombuffer(r["k1"], "<i8")), pa.array(np.frombuffer(r["k2"], "<i8")), pa.array(np.frombuffer(r["own"], "u1").astype(bool))]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "doc_id", "n", "k1", "k2", "own"])
 
-    return run
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets as equal ranges of hashes, so that sorted hashes lie bucket by bucket."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _asked(buckets: int):
+    """Each shingle of a chunk once, to its bucket, with the number of the chunk's sets that hold it."""
+    names = {"bucket": pa.int64(), "chunk": pa.int64(), "hashes": pa.binary(), "times": pa.binary()}
 
-def _sets(batches_key, table):
-    """One document bucket: documents whose prefix holds shared shingles, with those and all their shared shingles."""
-    kind = table.column("kind").to_pylist()
-    col = {n: table.column(n).to_pylist() for n in ("docs", "keys", "sizes", "counts", "low", "high", "rank")}
-    live, dead = [i for i, x in enumerate(kind) if x == 0], [i for i, x in enumerate(kind) if x == 1]
-    take = lambda name, dtype, which=live: unpack([col[name][i] for i in which], dtype)
-    counts = take("counts", "<u4").astype(np.int64)
-    docs, keys, sizes = take("docs", "<i8"), take("keys", "<u8"), take("sizes", "<u4").astype(np.int64)
-    token = take("low", "<u4").astype(np.uint64) | take("high", "<u4").astype(np.uint64) << np.uint64(32)
-    rank = take("rank", "u1")
-    gone = set(zip(take("docs", "<i8", dead).tolist(), take("keys", "<u8", dead).tolist(), strict=True))
-    # rows of one set lie in several messages
-    order = np.lexsort((keys, docs))
-    d, q = docs[order], keys[order]
-    new = np.append(True, (d[1:] != d[:-1]) | (q[1:] != q[:-1])) if len(d) else np.zeros(0, bool)
-    of = np.empty(len(docs), np.int64)
-    of[order] = np.cumsum(new) - 1
-    heads = order[new]
-    held = np.bincount(of, weights=counts, minlength=len(heads)).astype(np.int64)
-    n = sizes[heads]
-    prefix = n - (NUM * n + DEN - 1) // DEN + 1
-    wanted = prefix - (n - held)
-    dropped = np.array([(a, b) in gone for a, b in zip(docs[heads].tolist(), keys[heads].tolist(), strict=True)], dtype=bool) if len(heads) else np.zeros(0, bool)
-    ok = (wanted > 0) & ~dropped
-    entry = np.repeat(of, counts)
-    sel = ok[entry] if len(entry) else np.zeros(0, bool)
-    entry, token, rank = entry[sel], token[sel], rank[sel]
-    order = np.lexsort((token, rank, entry))
-    entry, token = entry[order], token[order]
-    out_doc, out_n, out_set, out_prefix = [], [], [], []
-    for s, e in groups(entry):
-        g = entry[s]
-        out_doc.append(int(docs[heads[g]]))
-        out_n.append(int(n[g]))
-        out_set.append(pack(np.sort(token[s:e]), "<u8"))
-        out_prefix.append(token[s : s + wanted[g]].view(np.int64).tolist())
-    return pa.table([pa.array(out_doc, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_set, pa.binary()), pa.array(out_prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "members", "prefix"])
-
-
-def _classes(described: DataFrame) -> DataFrame:
-    """(doc_id, rep, k1) of the sets that a smaller id holds as well."""
-    some = described.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").withColumnsRenamed({"n": "rn", "k1": "r1", "k2": "r2"})
-    return some.join(reps, (F.col("n") == F.col("rn")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).where("doc_id <> rep").select("doc_id", "rep", "k1")
-
-
-def _dead(buckets: int):
     def run(batches):
         for b in batches:
-            doc, key = b.column("doc_id").to_numpy(), b.column("k1").to_numpy().view(np.uint64)
-            to = spread(doc, buckets)
-            order = np.argsort(to, kind="stable")
-            rows = [(int(to[order[s]]), 1, pack(doc[order[s:e]], "<i8"), pack(key[order[s:e]], "<u8"), None, None, None, None, None) for s, e in groups(to[order])]
-            if rows:
-                yield _rows(rows, _NAMES)
+            for chunk, members in zip(b.column("chunk").to_pylist(), b.column("members"), strict=True):
+                h, times = np.unique(np.frombuffer(members.as_py(), "<u8"), return_counts=True)
+                to = bucket_of(h, buckets)
+                yield _batch([(int(to[s]), chunk, pack(h[s:e], "<u8"), pack(np.minimum(times[s:e], 255), "u1")) for s, e in groups(to)], names)
 
     return run
 
 
+_ROW = "chunk long, kind int, bucket long, docs binary, known binary, counts binary, k1 binary, own binary, members binary"
+
+
+def _ranked(key, table):
+    """One bucket: the rank of each shingle asked for, 0 for those that one set holds."""
+    asked = table.column("hashes").to_pylist()
+    h, times = unpack(asked, "<u8"), unpack(table.column("times").to_pylist(), "u1").astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
+    held = np.add.reduceat(times[order], first) if len(h) else times
+    rank = np.empty(len(h), np.uint8)
+    rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(held))).astype(np.uint8), np.diff(np.append(first, len(h))))
+    cut = np.append(0, np.cumsum([len(x) // 8 for x in asked]))
+    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([rank[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["chunk", "bucket", "ranks"])
+
+
+def _dead(batches):
+    """Sets that a smaller id of another chunk holds as well, packed by chunk."""
+    names = {"chunk": pa.int64(), "docs": pa.binary(), "k1": pa.binary()}
+    for b in batches:
+        chunk, doc, key = (b.column(x).to_numpy(zero_copy_only=False) for x in ("chunk", "doc_id", "k1"))
+        order = np.argsort(chunk, kind="stable")
+        yield _batch([(int(chunk[order[s]]), pack(doc[order[s:e]], "<i8"), pack(key[order[s:e]], "<i8")) for s, e in groups(chunk[order])], names)
+
+
+def _sets(key, table):
+    """One chunk: documents whose prefix holds shared shingles, with those and all their shared shingles."""
+    rows = table.to_pylist()
+    whole = next(r for r in rows if r["kind"] == 0)
+    own = np.frombuffer(whole["own"], "u1").astype(bool)
+    doc, n, k1 = (np.frombuffer(whole[c], t)[own] for c, t in (("docs", "<i8"), ("counts", "<u4"), ("k1", "<i8")))
+    n = n.astype(np.int64)
+    token = np.frombuffer(whole["members"], "<u8")
+    answered = unpack([r["members"] for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])], "u1")
+    rank = answered[np.searchsorted(np.unique(token), token)] if len(token) else answered
+    gone = {p for r in rows if r["kind"] == 2 for p in zip(np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["k1"], "<i8").tolist(), strict=True)}
+    dropped = np.array([p in gone for p in zip(doc.tolist(), k1.tolist(), strict=True)], dtype=bool)
+    row = np.repeat(np.arange(len(doc)), n)
+    held = np.bincount(row[rank > 0], minlength=len(doc))
+    wanted = n - (NUM * n + DEN - 1) // DEN + 1 - (n - held)
+    ok = (wanted > 0) & ~dropped
+    sel = (rank > 0) & ok[row]
+    row, token, rank = row[sel], token[sel], rank[sel]
+    order = np.lexsort((token, rank, row))
+    out = []
+    for s, e in groups(row):
+        i = row[s]
+        out.append((int(doc[i]), int(n[i]), pack(token[s:e], "<u8"), token[order[s : s + wanted[i]]].view(np.int64).tolist()))
+    return pa.Table.from_batches([_batch(out, {"doc_id": pa.int64(), "n": pa.int64(), "members": pa.binary(), "prefix": pa.list_(pa.int64())})])
+
+
 def bitmaps(members: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     """Hashed bitmap of each set: bit h mod bits is flipped by each member."""
     out = np.zeros((len(members), bits // 64), np.uint64)
@@ -293,28 +270,50 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.lit(_RATIO) + F.lit(1e-9)).cast("int")
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
-    """(doc_id, block) of the sets with a candidate."""
+def _keyed(sets: DataFrame) -> DataFrame:
+    """(key, doc_id): prefix shingles of a band; a document is keyed to its own band and, as the smaller one, to the next."""
     prefix = sets.select("doc_id", _band(F.col("n")).alias("band"), F.explode("prefix").alias("token"))
-    # to its own band and, as the smaller one, to the next
-    keyed = materialize(prefix.select("doc_id", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("key")), "prefix")
-    hubs = keyed.groupBy(F.col("key").alias("hub_key")).agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("hub_key", "hub")
-    edges = keyed.join(hubs, F.col("key") == F.col("hub_key")).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = components(edges)
-    return stars.select(F.col("node").alias("doc_id"), F.col("root").alias("block")).union(stars.select(F.col("root").alias("doc_id"), F.col("root").alias("block")).distinct())
+    return prefix.select("doc_id", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("key"))
 
 
-def _tiles(sets: DataFrame, blocks: DataFrame, tile_docs: int, tile_shingles: int) -> DataFrame:
+def _blocks(scratch: Scratch, keyed: DataFrame) -> DataFrame:
+    """(node, block) of the documents with a candidate."""
+    hubs = scratch.table(keyed.groupBy(F.col("key").alias("hub_key")).agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("held")).where("hub <> last").drop("last"), "hubs")
+    edges = lookup(keyed, hubs, {"key": "hub_key"}, "held", keyed.count(), "inner").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = components(edges)
+    return scratch.table(stars.select("node", F.col("root").alias("block")).union(stars.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct()), "blocks")
+
+
+def _placed(scratch: Scratch, sets: DataFrame, keyed: DataFrame, blocks: DataFrame, tile_docs: int) -> DataFrame:
+    """(mode, block, band, doc_id, n, held, members): documents to be compared within a block's neighbouring bands or (mode 1) within a prefix shingle's."""
+    shown = sets.select("doc_id", "n", _band(F.col("n")).alias("band"), (F.length("members") / 8).cast("long").alias("held"), "members")
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("docs")).where(F.col("docs") > tile_docs)
+    large = scratch.table(lookup(blocks, sizes.withColumnRenamed("block", "z"), {"block": "z"}, "docs", blocks.count(), "inner").select("node", "block", "docs"), "large")
+    # documents of large blocks by prefix shingle, and what comparing these would cost
+    by_key = scratch.table(keyed.join(large, F.col("doc_id") == F.col("node")).select("key", "block", "docs", "doc_id"), "by_key")
+    held = scratch.table(by_key.groupBy("key", "block").agg(F.count("*").alias("g"), F.first("docs").alias("docs")).where("g > 1"), "held")
+    chains = held.groupBy("block").agg(F.sum(F.col("g").cast("double") * F.col("g")).alias("cost"), F.first("docs").alias("docs")).where(F.col("cost") * 4 < F.col("docs").cast("double") * F.col("docs")).select(F.col("block").alias("c"), "docs")
+    chained = scratch.table(chains, "chains")
+    # at most one chain for each tile_docs documents; their rows are told apart by the block's size
+    rest = blocks.join(chained.select("c"), F.col("block") == F.col("c"), "left_anti")
+    whole = shown.join(rest, F.col("doc_id") == F.col("node")).select(F.lit(0).alias("mode"), "block", "band", "doc_id", "n", "held", "members")
+    keys = held.join(chained.select("c"), F.col("block") == F.col("c"), "left_semi").select(F.col("key").alias("kk"), "g")
+    some = lookup(by_key.select("key", "doc_id"), keys, {"key": "kk"}, "g", by_key.count(), "inner").select("key", F.col("doc_id").alias("node"))
+    cut = shown.join(some, F.col("doc_id") == F.col("node")).select(F.lit(1).alias("mode"), F.col("key").alias("block"), F.lit(0).alias("band"), "doc_id", "n", "held", "members")
+    return scratch.table(whole.unionByName(cut), "placed")
+
+
+def _tiles(placed: DataFrame, tile_docs: int, tile_shingles: int) -> DataFrame:
     """Rows of tile pairs: (pair, side, doc_id, n, members); side 0: a tile with itself, 1 and 2: two tiles."""
-    placed = materialize(sets.join(blocks.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).select("block", "doc_id", "n", _band(F.col("n")).alias("band"), (F.length("members") / 8).cast("long").alias("held"), "members"), "placed")
-    bands = placed.groupBy("block", "band").agg(F.count("*").alias("docs"), F.sum("held").alias("shingles"))
-    tiles = bands.select("block", "band", F.greatest(F.ceil(F.col("docs") / tile_docs), F.ceil(F.col("shingles") / tile_shingles), F.lit(1)).cast("int").alias("tiles"))
-    whole = bands.groupBy("block").agg((F.ceil(F.sum("docs") / tile_docs) <= 1).alias("few"), (F.ceil(F.sum("shingles") / tile_shingles) <= 1).alias("light")).select("block", (F.col("few") & F.col("light")).alias("one"))
+    at = ["mode", "block"]
+    bands = placed.groupBy(*at, "band").agg(F.count("*").alias("docs"), F.sum("held").alias("shingles"))
+    tiles = bands.select(*at, "band", "docs", F.greatest(F.ceil(F.col("docs") / tile_docs), F.ceil(F.col("shingles") / tile_shingles), F.lit(1)).cast("int").alias("tiles"))
+    whole = bands.groupBy(*at).agg((F.ceil(F.sum("docs") / tile_docs) <= 1).alias("few"), (F.ceil(F.sum("shingles") / tile_shingles) <= 1).alias("light")).select(*at, (F.col("few") & F.col("light")).alias("one"))
     b = F.col("band")
-    near = tiles.alias("t").join(tiles.select(F.col("block").alias("x_block"), (F.col("band") - 1).alias("x_band"), F.col("tiles").alias("above")), (F.col("block") == F.col("x_block")) & (b == F.col("x_band")), "left").select("block", "band", "tiles", F.coalesce("above", F.lit(0)).alias("above"))
-    near = near.join(tiles.select(F.col("block").alias("y_block"), (F.col("band") + 1).alias("y_band"), F.col("tiles").alias("below")), (F.col("block") == F.col("y_block")) & (b == F.col("y_band")), "left").select("block", "band", "tiles", "above", F.coalesce("below", F.lit(0)).alias("below"))
-    plan = near.join(whole, "block").withColumnsRenamed({"block": "p_block", "band": "p_band"})
-    dealt = placed.join(plan, (F.col("block") == F.col("p_block")) & (b == F.col("p_band")))
+    near = tiles.join(tiles.select(F.col("mode").alias("x_mode"), F.col("block").alias("x_block"), (F.col("band") - 1).alias("x_band"), F.col("tiles").alias("above")), (F.col("mode") == F.col("x_mode")) & (F.col("block") == F.col("x_block")) & (b == F.col("x_band")), "left").select(*at, "band", "docs", "tiles", F.coalesce("above", F.lit(0)).alias("above"))
+    near = near.join(tiles.select(F.col("mode").alias("y_mode"), F.col("block").alias("y_block"), (F.col("band") + 1).alias("y_band"), F.col("tiles").alias("below")), (F.col("mode") == F.col("y_mode")) & (F.col("block") == F.col("y_block")) & (b == F.col("y_band")), "left").select(*at, "band", "docs", "tiles", "above", F.coalesce("below", F.lit(0)).alias("below"))
+    plan = near.join(whole, at).withColumnsRenamed({"mode": "p_mode", "block": "p_block", "band": "p_band"})
+    dealt = lookup(placed, plan, {"mode": "p_mode", "block": "p_block", "band": "p_band"}, "docs", placed.count(), "inner")
     t = F.pmod(F.xxhash64("doc_id", "n"), F.col("tiles")).cast("int")
     pair = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     zero = F.lit(0)
@@ -323,25 +322,39 @@ def _tiles(sets: DataFrame, blocks: DataFrame, tile_docs: int, tile_shingles: in
     down = F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: pair(b - 1, b, j, F.col("t"), F.lit(2))))
     none = F.filter(own, lambda x: F.lit(False))
     pairs = F.when(F.col("one"), F.array(pair(zero, zero, zero, zero, F.lit(0)))).otherwise(F.concat(own, F.coalesce(up, none), F.coalesce(down, none)))
-    return dealt.withColumn("t", t).select("block", "doc_id", "n", "members", F.explode(pairs).alias("p")).select("block", "p.low", "p.high", "p.i", "p.j", "p.side", "doc_id", "n", "members")
+    return dealt.withColumn("t", t).select(*at, "doc_id", "n", "members", F.explode(pairs).alias("p")).select(*at, "p.low", "p.high", "p.i", "p.j", "p.side", "doc_id", "n", "members")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_docs: int = TILE_DOCS, tile_shingles: int = TILE_SHINGLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles and component_id."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    scratch = Scratch(docs.sparkSession, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = materialize(d.mapInArrow(_described(k), "doc_id long, n long, k1 long, k2 long"), "described")
-    total = int(described.agg(F.sum("n")).first()[0] or 0)
+    packed = scratch.table(d.mapInArrow(_packed(k), _PACKED), "packed")
+    described = scratch.table(packed.drop("members").mapInArrow(_describe, _DESCRIBED), "described")
+    total = int(packed.agg(F.sum(F.length("members") / 8)).first()[0] or 0)
+    rows = described.count()
+    known = described.where("doc_id is not null")
+    key = {"n": "rn", "k1": "r1", "k2": "r2"}
+    classes = scratch.table(known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").withColumnsRenamed(key), "classes")
+    # what is answered to each chunk: ranks of its shingles, and which of its sets are kept elsewhere
     buckets = max(1, -(-total // bucket))
-    classes = materialize(_classes(described), "classes")
-    sent = d.where("doc_id is not null and text is not null").mapInArrow(_shingles(k, buckets), _SENT)
-    shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(buckets), _SENT)
-    shared = shared.unionByName(classes.select("doc_id", "k1").mapInArrow(_dead(buckets), _SENT))
-    sets = materialize(shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
-    release(spark)
-    found = _tiles(sets, _blocks(sets), tile_docs, tile_shingles).groupBy("block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
-    linked = materialize(found, "links")
-    release(spark)
-    roots = components(linked.unionByName(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return described.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    ranks = scratch.table(packed.select("chunk", "members").mapInArrow(_asked(buckets), "bucket long, chunk long, hashes binary, times binary").repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary"), "ranks")
+    gone = lookup(known.where("own"), classes, key, "copies", rows, "inner").where("doc_id <> rep").select("chunk", "doc_id", "k1").mapInArrow(_dead, "chunk long, docs binary, k1 binary")
+    columns = _ROW.split(", ")
+    row = lambda df, kind, **given: df.select(*[(F.lit(kind) if c.split()[0] == "kind" else given.get(c.split()[0], F.lit(None))).cast(c.split()[1]).alias(c.split()[0]) for c in columns])
+    c = F.col
+    sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "known", "counts", "k1", "own", "members")}).unionByName(row(ranks, 1, chunk=c("chunk"), bucket=c("bucket"), members=c("ranks"))).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
+    sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
+    scratch.drop("packed", "ranks")
+    keyed = scratch.table(_keyed(sets), "keyed")
+    placed = _placed(scratch, sets, keyed, _blocks(scratch, keyed), tile_docs)
+    linked = _tiles(placed, tile_docs, tile_shingles).groupBy("mode", "block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
+    # rows of one id tie the classes of their sets
+    several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("s"))
+    tied = lookup(known, classes, key, "copies", rows, "inner").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(several, F.col("a") == F.col("s"), "left_semi")
+    roots = components(scratch.table(linked.unionByName(tied), "links"))
+    scratch.drop("sets", "placed", "keyed", "by_key")
+    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("rn", "r1", "r2", "copies", F.coalesce("root", "rep").alias("class_root"))
+    found = lookup(known, scratch.table(named, "named"), key, "copies", rows, "left").select("doc_id", "n", "class_root")
+    whole = found.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_root", "root", "doc_id").alias("component_id"))
+    return whole.unionByName(described.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -131,7 +130,6 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its spans by start, then kind."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path, release, small_batches
+from ._store import materialize, new_path
 from ._text import SPACED, chunks, column_bytes, groups, mix, pack, scan, slices, spread, unpack, windows
 
 WINDOW = 13
@@ -205,7 +205,6 @@ def repeated_spans(d: DataFrame, buckets: int, k: int = WINDOW, history: DataFra
         joined.where("to < 0").select("bucket", "fingerprints", "owners").write.parquet(run_path)
     hits = joined.where("to >= 0").select("to", "docs", "keys", "counts", "places")
     spans = materialize(hits.repartition(doc_buckets, "to").groupBy("to").applyInArrow(_spans(k), "doc_id long, text_key long, spans binary"), "spans")
-    release(spark)
     return spans
 
 
@@ -241,7 +240,6 @@ def cut(d: DataFrame, spans: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, k: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One batch against an empty index: doc_id, n_words, n_removed, kept."""
-    small_batches(docs.sparkSession)
     d = _with_key(docs)
     return cut(d, repeated_spans(d, buckets_for(d, bucket_bytes), k))
 
@@ -268,7 +266,6 @@ class FingerprintIndex:
         return self.spark.read.schema(_RUN).parquet(*self.runs) if self.runs else None
 
     def dedup(self, batch: DataFrame) -> DataFrame:
-        small_batches(self.spark)
         d = _with_key(batch)
         to = self._new()
         spans = repeated_spans(d, self.buckets, self.k, self.history(), to)

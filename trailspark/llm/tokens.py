@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path, release, small_batches
+from ._store import materialize, new_path
 from ._text import _LOWER, chunks, column_bytes, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -240,7 +240,6 @@ def _bounds(docs: DataFrame, rounds: int) -> list[int]:
 def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, length: int = LENGTH, end: int = END, rounds: int = 3, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all documents; returns the index: doc_id, shard, path, place, n_tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     fs, local = _open(folder)
     fs.create_dir(local, recursive=True)
@@ -259,7 +258,6 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         n = max(1, -(-total // shard_bytes))
         dealt = part.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         parts.append(materialize(dealt.mapInArrow(_writer(folder, vocabulary, length, end, i), "doc_id long, round int, shard int, path string, place long, n_tokens long, rank long"), f"index{i}"))
-        release(spark)
     index = parts[0]
     for p in parts[1:]:
         index = index.unionByName(p)

@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
 from ._text import ALNUM, Words, mix, scan, slices, word_hashes
 
 #: At most so many labelled rows are fitted on.
@@ -224,7 +223,6 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
 def fit(docs: DataFrame, labels: DataFrame, least: int = 3) -> Model:
     """Learn the insult lexicon and the clause weights."""
     spark = docs.sparkSession
-    small_batches(spark)
     sample = _sample(docs, labels)
     model = seeds()
     totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -264,7 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 3) -> Model:
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, score, the number of matched clauses and the carried columns."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     d = docs.select("doc_id", *(["text"] if "text" not in carry else []), *[c for c in carry if c != "doc_id"])
     keep = [f for f in d.schema.fields if f.name in ("doc_id", *carry)]
