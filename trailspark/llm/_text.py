@@ -199,6 +199,23 @@ def unpack(x: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x), dtype=kind)
 
 
+def squeeze(x: np.ndarray, step: bool = True) -> bytes:
+    """Numbers as compressed planes of bytes; step: of the steps between ascending numbers."""
+    import zstandard
+
+    x = np.ascontiguousarray(x, dtype="<u8")
+    planes = (np.diff(x, prepend=_U(0)) if step else x).view("u1").reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes, step: bool = True) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1)
+    x = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(x, dtype=_U) if step else x
+
+
 def spread(doc: np.ndarray, n: int) -> np.ndarray:
     """A bucket below n for each document id."""
     return (mix(doc.astype(np.int64).view(_U) + _U(0x51)) % _U(n)).astype(np.int64)

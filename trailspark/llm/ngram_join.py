@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, lookup
-from ._text import SPACED, chunks, groups, mix, pack, scan, unpack, windows
+from ._text import SPACED, chunks, groups, mix, pack, scan, squeeze, unpack, unsqueeze, windows
 from .components import components
 
 K = 5
@@ -52,7 +52,7 @@ BUCKET = 3_000_000
 TILE_DOCS = 1024
 TILE_SHINGLES = 1_000_000
 BITS = 512
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 PARTITIONS = 16_384
 
 
@@ -87,7 +87,7 @@ def _batch(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
 
 
-_PACKED = "chunk long, docs binary, known binary, counts binary, k1 binary, k2 binary, own binary, members binary"
+_PACKED = "chunk long, docs binary, known binary, counts binary, k1 binary, k2 binary, own binary, shingles long, hashes binary, begins binary, holders binary"
 _DESCRIBED = "chunk long, doc_id long, n long, k1 long, k2 long, own boolean"
 
 
@@ -109,7 +109,12 @@ def _packed(k: int):
             new[1:] = (counts[order][1:] != counts[order][:-1]) | (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
             own = np.zeros(len(doc), bool)
             own[order[new]] = True
-            yield _batch([(first + i, pack(doc, "<i8"), pack(known, "u1"), pack(counts, "<u4"), pack(k1, "<u8"), pack(k2, "<u8"), pack(own, "u1"), pack(h[np.repeat(own, counts)], "<u8"))], names)
+            # the kept sets as (shingle, holder) by shingle
+            h, holder = h[np.repeat(own, counts)], np.repeat(np.arange(int(own.sum())), counts[own])
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            begins = np.append(True, h[1:] != h[:-1])[: len(h)]
+            yield _batch([(first + i, pack(doc, "<i8"), pack(known, "u1"), pack(counts, "<u4"), pack(k1, "<u8"), pack(k2, "<u8"), pack(own, "u1"), len(h), squeeze(h), pack(np.packbits(begins), "u1"), squeeze(holder[order], step=False))], names)
 
     return run
 
@@ -134,28 +139,29 @@ def _asked(buckets: int):
 
     def run(batches):
         for b in batches:
-            for chunk, members in zip(b.column("chunk").to_pylist(), b.column("members"), strict=True):
-                h, times = np.unique(np.frombuffer(members.as_py(), "<u8"), return_counts=True)
+            for chunk, hashes in zip(b.column("chunk").to_pylist(), b.column("hashes"), strict=True):
+                h, times = np.unique(unsqueeze(hashes.as_py()), return_counts=True)
                 to = bucket_of(h, buckets)
-                yield _batch([(int(to[s]), chunk, pack(h[s:e], "<u8"), pack(np.minimum(times[s:e], 255), "u1")) for s, e in groups(to)], names)
+                yield _batch([(int(to[s]), chunk, squeeze(h[s:e]), pack(np.minimum(times[s:e], 255), "u1")) for s, e in groups(to)], names)
 
     return run
 
 
-_ROW = "chunk long, kind int, bucket long, docs binary, known binary, counts binary, k1 binary, own binary, members binary"
+_ROW = "chunk long, kind int, bucket long, docs binary, counts binary, k1 binary, own binary, begins binary, holders binary, ranks binary, tokens binary"
 
 
 def _ranked(key, table):
-    """One bucket: the rank of each shingle asked for, 0 for those that one set holds."""
-    asked = table.column("hashes").to_pylist()
-    h, times = unpack(asked, "<u8"), unpack(table.column("times").to_pylist(), "u1").astype(np.int64)
+    """One bucket: the rank of each shingle asked for, 0 for those that one set holds, and those of several sets."""
+    asked = [unsqueeze(x) for x in table.column("hashes").to_pylist()]
+    h, times = np.concatenate(asked), unpack(table.column("times").to_pylist(), "u1").astype(np.int64)
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
     held = np.add.reduceat(times[order], first) if len(h) else times
     rank = np.empty(len(h), np.uint8)
     rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(held))).astype(np.uint8), np.diff(np.append(first, len(h))))
-    cut = np.append(0, np.cumsum([len(x) // 8 for x in asked]))
-    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([rank[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["chunk", "bucket", "ranks"])
+    ranks = np.split(rank, np.cumsum([len(x) for x in asked])[:-1])
+    tokens = [squeeze(x[r > 0]) for x, r in zip(asked, ranks, strict=True)]
+    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([r.tobytes() for r in ranks], pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "bucket", "ranks", "tokens"])
 
 
 def _dead(batches):
@@ -174,17 +180,22 @@ def _sets(key, table):
     own = np.frombuffer(whole["own"], "u1").astype(bool)
     doc, n, k1 = (np.frombuffer(whole[c], t)[own] for c, t in (("docs", "<i8"), ("counts", "<u4"), ("k1", "<i8")))
     n = n.astype(np.int64)
-    token = np.frombuffer(whole["members"], "<u8")
-    answered = unpack([r["members"] for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])], "u1")
-    rank = answered[np.searchsorted(np.unique(token), token)] if len(token) else answered
+    answers = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])
+    ranks = unpack([r["ranks"] for r in answers], "u1")
+    tokens = np.zeros(len(ranks), np.uint64)
+    tokens[ranks > 0] = np.concatenate([unsqueeze(r["tokens"]) for r in answers]) if answers else tokens
+    row = unsqueeze(whole["holders"], step=False).astype(np.int64)
+    at = np.cumsum(np.unpackbits(np.frombuffer(whole["begins"], "u1"), count=len(row)).astype(np.int64)) - 1
+    rank, token = ranks[at], tokens[at]
     gone = {p for r in rows if r["kind"] == 2 for p in zip(np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["k1"], "<i8").tolist(), strict=True)}
     dropped = np.array([p in gone for p in zip(doc.tolist(), k1.tolist(), strict=True)], dtype=bool)
-    row = np.repeat(np.arange(len(doc)), n)
     held = np.bincount(row[rank > 0], minlength=len(doc))
     wanted = n - (NUM * n + DEN - 1) // DEN + 1 - (n - held)
     ok = (wanted > 0) & ~dropped
     sel = (rank > 0) & ok[row]
     row, token, rank = row[sel], token[sel], rank[sel]
+    order = np.lexsort((token, row))
+    row, token, rank = row[order], token[order], rank[order]
     order = np.lexsort((token, rank, row))
     out = []
     for s, e in groups(row):
@@ -330,20 +341,20 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
     scratch = Scratch(docs.sparkSession, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packed = scratch.table(d.mapInArrow(_packed(k), _PACKED), "packed")
-    described = scratch.table(packed.drop("members").mapInArrow(_describe, _DESCRIBED), "described")
-    total = int(packed.agg(F.sum(F.length("members") / 8)).first()[0] or 0)
+    described = scratch.table(packed.select("chunk", "docs", "known", "counts", "k1", "k2", "own").mapInArrow(_describe, _DESCRIBED), "described")
+    total = int(packed.agg(F.sum("shingles")).first()[0] or 0)
     rows = described.count()
     known = described.where("doc_id is not null")
     key = {"n": "rn", "k1": "r1", "k2": "r2"}
     classes = scratch.table(known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").withColumnsRenamed(key), "classes")
     # what is answered to each chunk: ranks of its shingles, and which of its sets are kept elsewhere
     buckets = max(1, -(-total // bucket))
-    ranks = scratch.table(packed.select("chunk", "members").mapInArrow(_asked(buckets), "bucket long, chunk long, hashes binary, times binary").repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary"), "ranks")
+    ranks = scratch.table(packed.select("chunk", "hashes").mapInArrow(_asked(buckets), "bucket long, chunk long, hashes binary, times binary").repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary, tokens binary"), "ranks")
     gone = lookup(known.where("own"), classes, key, "copies", rows, "inner").where("doc_id <> rep").select("chunk", "doc_id", "k1").mapInArrow(_dead, "chunk long, docs binary, k1 binary")
     columns = _ROW.split(", ")
     row = lambda df, kind, **given: df.select(*[(F.lit(kind) if c.split()[0] == "kind" else given.get(c.split()[0], F.lit(None))).cast(c.split()[1]).alias(c.split()[0]) for c in columns])
     c = F.col
-    sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "known", "counts", "k1", "own", "members")}).unionByName(row(ranks, 1, chunk=c("chunk"), bucket=c("bucket"), members=c("ranks"))).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
+    sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "counts", "k1", "own", "begins", "holders")}).unionByName(row(ranks, 1, **{x: c(x) for x in ("chunk", "bucket", "ranks", "tokens")})).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
     sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
     scratch.drop("packed", "ranks")
     keyed = scratch.table(_keyed(sets), "keyed")
