@@ -75,12 +75,12 @@ def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, to
     than total / HOT rows (``least`` at least) to one task of the shuffled join.
     """
     edge = max(least, -(-total // hot))
-    same = lambda t: [F.col(a) == F.col(b) for a, b in on.items()]
-    often, seldom = table.where(F.col(count) > edge), table.where(F.col(count) <= edge)
-    at_hand = rows.join(F.broadcast(often), same(often), "inner")
-    keys = often.select(*[F.col(b).alias(f"__{i}") for i, b in enumerate(on.values())])
-    rest = rows.join(F.broadcast(keys), [F.col(a) == F.col(f"__{i}") for i, a in enumerate(on)], "left_anti").join(seldom, same(seldom), how)
-    return at_hand.unionByName(rest)
+    same = [F.col(a) == F.col(b) for a, b in on.items()]
+    if total <= edge:
+        return rows.join(table, same, how)
+    marked = rows.join(F.broadcast(table.where(F.col(count) > edge)), same, "left")
+    rest = marked.where(F.col(count).isNull()).select(*rows.columns).join(table.where(F.col(count) <= edge), same, how)
+    return marked.where(F.col(count).isNotNull()).unionByName(rest)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

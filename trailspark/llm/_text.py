@@ -216,6 +216,19 @@ def unsqueeze(data: bytes, step: bool = True) -> np.ndarray:
     return np.cumsum(x, dtype=_U) if step else x
 
 
+def deflate(x: np.ndarray) -> bytes:
+    """Numbers below 256, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(x.astype("u1").tobytes())
+
+
+def inflate(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1")
+
+
 def spread(doc: np.ndarray, n: int) -> np.ndarray:
     """A bucket below n for each document id."""
     return (mix(doc.astype(np.int64).view(_U) + _U(0x51)) % _U(n)).astype(np.int64)

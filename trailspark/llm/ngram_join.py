@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, lookup
-from ._text import SPACED, chunks, groups, mix, pack, scan, squeeze, unpack, unsqueeze, windows
+from ._text import SPACED, chunks, deflate, groups, inflate, mix, pack, scan, squeeze, unsqueeze, windows
 from .components import components
 
 K = 5
@@ -54,6 +54,8 @@ TILE_SHINGLES = 1_000_000
 BITS = 512
 CHUNK = 3 << 20
 PARTITIONS = 16_384
+#: Shingles are counted in so many rounds, which bounds what lies in shuffle files at a time.
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +135,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _asked(buckets: int):
-    """Each shingle of a chunk once, to its bucket, with the number of the chunk's sets that hold it."""
+def _asked(buckets: int, part: int, rounds: int):
+    """Each shingle of a chunk once, to its bucket, with the number of the chunk's sets that hold it; of one part of the buckets."""
     names = {"bucket": pa.int64(), "chunk": pa.int64(), "hashes": pa.binary(), "times": pa.binary()}
 
     def run(batches):
@@ -142,7 +144,7 @@ def _asked(buckets: int):
             for chunk, hashes in zip(b.column("chunk").to_pylist(), b.column("hashes"), strict=True):
                 h, times = np.unique(unsqueeze(hashes.as_py()), return_counts=True)
                 to = bucket_of(h, buckets)
-                yield _batch([(int(to[s]), chunk, squeeze(h[s:e]), pack(np.minimum(times[s:e], 255), "u1")) for s, e in groups(to)], names)
+                yield _batch([(int(to[s]), chunk, squeeze(h[s:e]), deflate(np.minimum(times[s:e], 255))) for s, e in groups(to) if to[s] % rounds == part], names)
 
     return run
 
@@ -153,7 +155,7 @@ _ROW = "chunk long, kind int, bucket long, docs binary, counts binary, k1 binary
 def _ranked(key, table):
     """One bucket: the rank of each shingle asked for, 0 for those that one set holds, and those of several sets."""
     asked = [unsqueeze(x) for x in table.column("hashes").to_pylist()]
-    h, times = np.concatenate(asked), unpack(table.column("times").to_pylist(), "u1").astype(np.int64)
+    h, times = np.concatenate(asked), np.concatenate([inflate(x) for x in table.column("times").to_pylist()]).astype(np.int64)
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
     held = np.add.reduceat(times[order], first) if len(h) else times
@@ -161,7 +163,7 @@ def _ranked(key, table):
     rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(held))).astype(np.uint8), np.diff(np.append(first, len(h))))
     ranks = np.split(rank, np.cumsum([len(x) for x in asked])[:-1])
     tokens = [squeeze(x[r > 0]) for x, r in zip(asked, ranks, strict=True)]
-    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([r.tobytes() for r in ranks], pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "bucket", "ranks", "tokens"])
+    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([deflate(r) for r in ranks], pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "bucket", "ranks", "tokens"])
 
 
 def _dead(batches):
@@ -181,7 +183,7 @@ def _sets(key, table):
     doc, n, k1 = (np.frombuffer(whole[c], t)[own] for c, t in (("docs", "<i8"), ("counts", "<u4"), ("k1", "<i8")))
     n = n.astype(np.int64)
     answers = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])
-    ranks = unpack([r["ranks"] for r in answers], "u1")
+    ranks = np.concatenate([np.zeros(0, np.uint8), *[inflate(r["ranks"]) for r in answers]])
     tokens = np.zeros(len(ranks), np.uint64)
     tokens[ranks > 0] = np.concatenate([unsqueeze(r["tokens"]) for r in answers]) if answers else tokens
     row = unsqueeze(whole["holders"], step=False).astype(np.int64)
@@ -299,13 +301,14 @@ def _placed(scratch: Scratch, sets: DataFrame, keyed: DataFrame, blocks: DataFra
     """(mode, block, band, doc_id, n, held, members): documents to be compared within a block's neighbouring bands or (mode 1) within a prefix shingle's."""
     shown = sets.select("doc_id", "n", _band(F.col("n")).alias("band"), (F.length("members") / 8).cast("long").alias("held"), "members")
     sizes = blocks.groupBy("block").agg(F.count("*").alias("docs")).where(F.col("docs") > tile_docs)
+    if sizes.isEmpty():
+        return scratch.table(shown.join(blocks, F.col("doc_id") == F.col("node")).select(F.lit(0).alias("mode"), "block", "band", "doc_id", "n", "held", "members"), "placed")
     large = scratch.table(lookup(blocks, sizes.withColumnRenamed("block", "z"), {"block": "z"}, "docs", blocks.count(), "inner").select("node", "block", "docs"), "large")
     # documents of large blocks by prefix shingle, and what comparing these would cost
     by_key = scratch.table(keyed.join(large, F.col("doc_id") == F.col("node")).select("key", "block", "docs", "doc_id"), "by_key")
     held = scratch.table(by_key.groupBy("key", "block").agg(F.count("*").alias("g"), F.first("docs").alias("docs")).where("g > 1"), "held")
     chains = held.groupBy("block").agg(F.sum(F.col("g").cast("double") * F.col("g")).alias("cost"), F.first("docs").alias("docs")).where(F.col("cost") * 4 < F.col("docs").cast("double") * F.col("docs")).select(F.col("block").alias("c"), "docs")
     chained = scratch.table(chains, "chains")
-    # at most one chain for each tile_docs documents; their rows are told apart by the block's size
     rest = blocks.join(chained.select("c"), F.col("block") == F.col("c"), "left_anti")
     whole = shown.join(rest, F.col("doc_id") == F.col("node")).select(F.lit(0).alias("mode"), "block", "band", "doc_id", "n", "held", "members")
     keys = held.join(chained.select("c"), F.col("block") == F.col("c"), "left_semi").select(F.col("key").alias("kk"), "g")
@@ -349,22 +352,28 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
     classes = scratch.table(known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").withColumnsRenamed(key), "classes")
     # what is answered to each chunk: ranks of its shingles, and which of its sets are kept elsewhere
     buckets = max(1, -(-total // bucket))
-    ranks = scratch.table(packed.select("chunk", "hashes").mapInArrow(_asked(buckets), "bucket long, chunk long, hashes binary, times binary").repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary, tokens binary"), "ranks")
+    ranks = None
+    for part in range(ROUNDS):
+        asked = packed.select("chunk", "hashes").mapInArrow(_asked(buckets, part, ROUNDS), "bucket long, chunk long, hashes binary, times binary")
+        told = scratch.table(asked.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary, tokens binary"), f"ranks{part}")
+        ranks = told if ranks is None else ranks.unionByName(told)
     gone = lookup(known.where("own"), classes, key, "copies", rows, "inner").where("doc_id <> rep").select("chunk", "doc_id", "k1").mapInArrow(_dead, "chunk long, docs binary, k1 binary")
     columns = _ROW.split(", ")
     row = lambda df, kind, **given: df.select(*[(F.lit(kind) if c.split()[0] == "kind" else given.get(c.split()[0], F.lit(None))).cast(c.split()[1]).alias(c.split()[0]) for c in columns])
     c = F.col
     sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "counts", "k1", "own", "begins", "holders")}).unionByName(row(ranks, 1, **{x: c(x) for x in ("chunk", "bucket", "ranks", "tokens")})).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
     sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
-    scratch.drop("packed", "ranks")
+    scratch.drop("packed", *[f"ranks{part}" for part in range(ROUNDS)])
     keyed = scratch.table(_keyed(sets), "keyed")
     placed = _placed(scratch, sets, keyed, _blocks(scratch, keyed), tile_docs)
     linked = _tiles(placed, tile_docs, tile_shingles).groupBy("mode", "block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
     # rows of one id tie the classes of their sets
     several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("s"))
-    tied = lookup(known, classes, key, "copies", rows, "inner").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(several, F.col("a") == F.col("s"), "left_semi")
-    roots = components(scratch.table(linked.unionByName(tied), "links"))
-    scratch.drop("sets", "placed", "keyed", "by_key")
+    if not several.isEmpty():
+        tied = lookup(known, classes, key, "copies", rows, "inner").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(several, F.col("a") == F.col("s"), "left_semi")
+        linked = linked.unionByName(tied)
+    roots = components(scratch.table(linked, "links"))
+    scratch.drop("sets", "placed", "keyed")
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("rn", "r1", "r2", "copies", F.coalesce("root", "rep").alias("class_root"))
     found = lookup(known, scratch.table(named, "named"), key, "copies", rows, "left").select("doc_id", "n", "class_root")
     whole = found.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_root", "root", "doc_id").alias("component_id"))
