@@ -1,53 +1,80 @@
 """Substring dedup with a log-structured fingerprint index.
 
-Every window of ``k`` words has a 64-bit fingerprint and, from independent bits,
-a bucket. A batch's windows are sent to their buckets as sorted arrays; each
-bucket turns its part of the batch into a sorted run (fingerprint, smallest
-document id), merge-joins the batch with that run and with the bucket's
-historical runs, and answers each window that an earlier document owns. Runs are
-immutable Parquet tables; when more than ``fan_in`` stand, they are compacted
-into one. A match must agree in fingerprint and bucket (64 bits and the bucket's
-bits), and a covered span is verified against its document's own word count
-before words are removed.
-
-A bucket holds about ``bucket_bytes`` of text however large the corpus is (their
-number grows with it), and windows spread by hash, so neither a very common
-passage nor a large group of copies gathers in one task: within a chunk of text,
-an equal window of a smaller document answers on the spot, and only windows of
-the chunk's smallest document are sent.
+Every window of ``k`` words has a 128-bit fingerprint: a 64-bit key and, from
+other word hashes, a 64-bit check. The index is a log of immutable sorted runs.
+A run lies in the shared folder as one file a shelf, in which each bucket is a
+batch of ascending keys with their checks; buckets are ranges of keys, so a
+shelf is sorted as a whole. A batch of documents is ingested in one pass: its
+windows are sent to their shelves as packed arrays, each task opens its shelf's
+files and merge-joins bucket by bucket (the history is never shuffled), verifies
+each match by the check, answers every window that an earlier document owns, and
+writes the shelf's file of the new run. When more than ``fan_in`` runs stand, they
+are compacted shelf by shelf into one and the old files are deleted. Runs that
+stand are listed in versioned manifests, by which an index is opened again.
+
+Earlier documents are those of earlier batches, and in a batch those of smaller
+ids; so batches of ascending ids equal one batch of all rows. ``dedup`` ingests a
+table in such batches.
+
+Neither a very common passage nor a large group of copies gathers in one task: of
+equal windows of a chunk of text, only those of the smallest document are sent,
+and a document sends each window once, however often it repeats there. Where it
+repeats is found again when words are removed: a place is cut if its window is
+equal to an answered one.
 
 Defined results: null and empty texts have no words and lose none; rows with a
 null id are kept whole and own nothing; rows of equal id do not remove each
-other's words; texts below ``k`` words have no window; other columns are
-ignored.
+other's words if they lie in one batch; texts below ``k`` words have no window;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path
-from ._text import SPACED, chunks, column_bytes, groups, mix, pack, scan, slices, spread, unpack, windows
+from ._store import Scratch, delete, new_path
+from ._text import SPACED, chunks, column_bytes, groups, mix, pack, scan, slices, spread, squeeze, unpack, unsqueeze, windows
 
 WINDOW = 13
 BUCKET_BYTES = 14 << 20
-FAN_IN = 4
+#: A batch of the query holds about so much text, and there are BATCHES at least.
+BATCH_BYTES = 1 << 40
+BATCHES = 4
+FAN_IN = 2
 CHUNK = 4 << 20
+#: Tasks, and files of a run.
+SHELVES = 4096
 
-_SENT = "bucket long, kind int, docs binary, keys binary, counts binary, fingerprints binary, gaps binary"
-_RUN = "bucket long, fingerprints binary, owners binary"
+_SENT = "shelf int, bucket long, kind int, docs binary, keys binary, counts binary, fingerprints binary, gaps binary"
+_HITS = "to long, docs binary, keys binary, counts binary, places binary"
 
 
-def _route(fingerprint: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket from bits that the fingerprint does not determine in any simple way."""
-    return (mix(fingerprint * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545)) % np.uint64(buckets)).astype(np.int64)
+def fingerprints(w, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, check, row, first word in the row) of each window."""
+    key, row, at = windows(w, k)
+    plain = w.hashes
+    w.hashes = mix(plain * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545))
+    check, _, _ = windows(w, k)
+    w.hashes = plain
+    return key, check, row, at - w.rows[row]
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets as equal ranges of keys."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def shelf_of(bucket: int, buckets: int, shelves: int) -> int:
+    return bucket * shelves // buckets
 
 
 def _gaps(at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -81,217 +108,369 @@ def _by_document(to: np.ndarray, entry: np.ndarray, place: np.ndarray, docs: np.
         yield int(to[s]), pack(docs[of], "<i8"), pack(keys[of], "<i8"), pack(np.diff(np.append(first, e - s)), "<u4"), pack(place[s:e], "<u4")
 
 
-def _sent(buckets: int, k: int):
+def _both(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Key and check as one number that sorts by both."""
+    out = np.empty(len(key), dtype=[("key", "<u8"), ("check", "<u8")])
+    out["key"], out["check"] = key, check
+    return out
+
+
+def _starts(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where sorted fingerprints change."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    return np.flatnonzero(new)
+
+
+_SENT_TYPES = {"shelf": pa.int32(), "bucket": pa.int64(), "kind": pa.int32(), **{c: pa.binary() for c in ("docs", "keys", "counts", "fingerprints", "gaps")}}
+_HIT_TYPES = {"to": pa.int64(), **{c: pa.binary() for c in ("docs", "keys", "counts", "places")}}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], names=list(types))
+
+
+def _sent(buckets: int, shelves: int, k: int):
+    """Windows by bucket (kind 0); kind 2: places that a smaller document of the chunk owns, which need no search, by document bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches, "text", CHUNK):
             w = scan(b.column("text"), SPACED)
-            h, row, at = windows(w, k)
-            at = at - w.rows[row]
+            key, check, row, at = fingerprints(w, k)
             doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-            key = b.column("text_key").to_numpy(zero_copy_only=False)
-            # windows that a smaller document of this chunk owns need no search
-            order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
-            least = np.empty(len(h), dtype=np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[row[order]], first), np.diff(np.append(first, len(h)))) if len(h) else 0
+            text = b.column("text_key").to_numpy(zero_copy_only=False)
+            # each window once a row, at its first place
+            order = np.lexsort((at, row, check, key))
+            key, check, row, at = key[order], check[order], row[order], at[order]
+            new = np.zeros(len(key), bool)
+            new[_starts(key, check)] = True
+            once = new.copy()
+            once[1:] |= row[1:] != row[:-1]
+            key, check, row, at, new = key[once], check[once], row[once], at[once], new[once]
+            first = np.flatnonzero(new)
+            least = np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.append(first, len(key)))) if len(key) else np.zeros(0, np.int64)
             known = doc[row] > least
-            rows = [(to, 2, *x[:3], None, x[3]) for to, *x in _by_document(spread(doc[row[known]], buckets), row[known], at[known], doc, key)]
-            h, row, at = h[~known], row[~known], at[~known]
-            to = _route(h, buckets)
-            order = np.argsort(to.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
-            h, row, at, to = h[order], row[order], at[order], to[order]
+            rows = [(shelf_of(to, buckets, shelves), to, 2, *x[:3], None, x[3]) for to, *x in _by_document(spread(doc[row[known]], buckets), row[known], at[known], doc, text)]
+            key, check, row, at = key[~known], check[~known], row[~known], at[~known]
+            to = bucket_of(key, buckets)
+            order = np.lexsort((at, row, to))
+            key, check, row, at, to = key[order], check[order], row[order], at[order], to[order]
             for s, e in groups(to):
                 first = np.flatnonzero(np.diff(row[s:e], prepend=-1))
-                counts = np.diff(np.append(first, e - s))
                 of = row[s:e][first]
-                rows.append((int(to[s]), 0, pack(doc[of], "<i8"), pack(key[of], "<i8"), pack(counts, "<u4"), pack(h[s:e], "<u8"), pack(_gaps(at[s:e], first), "<u2")))
+                rows.append((shelf_of(int(to[s]), buckets, shelves), int(to[s]), 0, pack(doc[of], "<i8"), pack(text[of], "<i8"), pack(np.diff(np.append(first, e - s)), "<u4"), pack(_both(key[s:e], check[s:e]).view("<u8"), "<u8"), pack(_gaps(at[s:e], first), "<u2")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "kind", "docs", "keys", "counts", "fingerprints", "gaps"])
+                yield _batch(rows, _SENT_TYPES)
 
     return run
 
 
-def run_of(fingerprints: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sorted run: each fingerprint once with its smallest owner."""
-    order = np.argsort(fingerprints, kind="stable")
-    f, o = fingerprints[order], owners[order]
-    first = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
-    return f[first], np.minimum.reduceat(o, first) if len(f) else o
-
-
-def owner_in(run: tuple[np.ndarray, np.ndarray], fingerprints: np.ndarray) -> np.ndarray:
-    """Merge-join: each fingerprint's owner in a run, the largest number if none."""
-    f, o = run
-    if not len(f):
-        return np.full(len(fingerprints), np.iinfo(np.int64).max)
-    i = np.searchsorted(f, fingerprints).clip(max=len(f) - 1)
-    return np.where(f[i] == fingerprints, o[i], np.iinfo(np.int64).max)
-
-
-def _join(doc_buckets: int, keep_run: bool):
-    """One bucket: batch windows (kind 0) against the batch's own run and historical runs (kind 1); kind 2 is answered and passes."""
-
-    def run(key, table):
-        kind = table.column("kind").to_numpy()
-        col = {n: table.column(n).to_pylist() for n in ("docs", "keys", "counts", "fingerprints", "gaps")}
-        new, old = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        take = lambda name, which, dtype: unpack([col[name][i] for i in which], dtype)
-        f = take("fingerprints", new, "<u8")
-        counts = take("counts", new, "<u4").astype(np.int64)
-        docs, keys = take("docs", new, "<i8"), take("keys", new, "<i8")
-        doc = np.repeat(docs, counts)
-        own = run_of(f, doc)
-        first = owner_in(own, f)
-        for i in old:
-            first = np.minimum(first, owner_in((unpack([col["fingerprints"][i]], "<u8"), unpack([col["docs"][i]], "<i8")), f))
-        hit = first < doc
-        out: list[tuple] = []
-        if keep_run and len(own[0]):
-            out.append((-1, None, None, None, None, key[0].as_py(), pack(own[0], "<u8"), pack(own[1], "<i8")))
-        if hit.any():
-            # places count from each document's start, so gaps of all rows in a line can be undone together
-            place = _places(take("gaps", new, "<u2"), counts)[hit]
-            entry = np.repeat(np.arange(len(docs)), counts)[hit]
-            out += [(*x, None, None, None) for x in _by_document(spread(docs[entry], doc_buckets), entry, place, docs, keys)]
-        out += [(key[0].as_py(), *[col[n][i] for n in ("docs", "keys", "counts", "gaps")], None, None, None) for i in np.flatnonzero(kind == 2)]
-        kinds = (pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.binary(), pa.binary())
-        cols = list(map(list, zip(*out, strict=True))) if out else [[] for _ in kinds]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["to", "docs", "keys", "counts", "places", "bucket", "fingerprints", "owners"])
-
-    return run
-
+# -- runs
+_RUN = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary())])
+
+
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path)
+
+
+class ShelfReader:
+    """A run's file of one shelf, read bucket by bucket in ascending order."""
+
+    def __init__(self, path: str):
+        fs, at = _open(path)
+        self.file = fs.open_input_stream(at)
+        self.reader = pa.ipc.open_stream(self.file)
+        self.next = self._read()
+
+    def _read(self) -> dict | None:
+        try:
+            return self.reader.read_next_batch().to_pylist()[0]
+        except StopIteration:
+            self.file.close()
+            return None
+
+    def take(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and checks of a bucket; those before it are passed over."""
+        while self.next is not None and self.next["bucket"] < bucket:
+            self.next = self._read()
+        if self.next is None or self.next["bucket"] > bucket:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        out = unsqueeze(self.next["keys"]), np.frombuffer(self.next["checks"], "<u8")
+        self.next = self._read()
+        return out
+
+
+class ShelfWriter:
+    """Writes a run's file of one shelf beside its place and renames it, so that a lost or repeated task leaves one whole file."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.fs, self.at = _open(path)
+        self.own = f"{self.at}.{uuid.uuid4().hex}"
+        self.sink = self.fs.open_output_stream(self.own)
+        self.out = pa.ipc.new_stream(self.sink, _RUN)
+
+    def add(self, bucket: int, key: np.ndarray, check: np.ndarray) -> None:
+        if len(key):
+            self.out.write_batch(pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([squeeze(key)], pa.binary()), pa.array([pack(check, "<u8")], pa.binary())], schema=_RUN))
+
+    def close(self) -> None:
+        self.out.close()
+        self.sink.close()
+        self.fs.move(self.own, self.at)
+
+
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs as one, each fingerprint once."""
+    if len(runs) == 1:
+        return runs[0]
+    key, check = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+    order = np.lexsort((check, key))
+    key, check = key[order], check[order]
+    first = _starts(key, check)
+    return key[first], check[first]
+
+
+def owned(run: tuple[np.ndarray, np.ndarray], key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Merge-join: whether each fingerprint stands in a run; keys are looked for, and checks verify them."""
+    keys, checks = run
+    out = np.zeros(len(key), bool)
+    if not len(keys):
+        return out
+    at = np.searchsorted(keys, key)
+    todo = np.flatnonzero(at < len(keys))
+    while todo.size:  # once more only where different windows have one key
+        todo = todo[keys[at[todo]] == key[todo]]
+        out[todo] = checks[at[todo]] == check[todo]
+        todo = todo[~out[todo]]
+        at[todo] += 1
+        todo = todo[at[todo] < len(keys)]
+    return out
 
-_JOINED = "to long, docs binary, keys binary, counts binary, places binary, bucket long, fingerprints binary, owners binary"
 
+def _ingest(runs: list[dict], new_run: str, buckets: int, hit_buckets: int):
+    """Rows of shelves, by bucket: answers the batch's windows and writes the shelves' files of the new run."""
 
-def _spans(k: int):
-    """One document bucket: places of all windows of its documents, merged into spans of words."""
+    def bucket_rows(batches):
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield held
+                    held = []
+                held.append(r)
+        if held:
+            yield held
 
-    def run(key, table):
-        col = {n: table.column(n).to_pylist() for n in ("docs", "keys", "counts", "places")}
-        counts = unpack(col["counts"], "<u4").astype(np.int64)
-        doc, text = np.repeat(unpack(col["docs"], "<i8"), counts), np.repeat(unpack(col["keys"], "<i8"), counts)
-        place = unpack(col["places"], "<u4").astype(np.int64)
-        order = np.lexsort((place, text, doc))
-        doc, text, place = doc[order], text[order], place[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
-        begins = new | np.append(True, place[1:] > place[:-1] + k)
-        s = np.flatnonzero(begins)
-        e = np.append(s[1:], len(place)) - 1
-        starts, stops = place[s], place[e] + k
-        of = np.flatnonzero(new[s])
-        parts = np.append(of, len(s))
-        spans = [pack(np.stack([starts[a:b], stops[a:b]], axis=1), "<u4") for a, b in zip(parts[:-1], parts[1:], strict=True)]
-        return pa.table([pa.array(doc[s][of]), pa.array(text[s][of]), pa.array(spans, pa.binary())], names=["doc_id", "text_key", "spans"])
+    def run(batches):
+        shelf, readers, writer = None, [], None
+        for rows in bucket_rows(batches):
+            if rows[0]["shelf"] != shelf:
+                if writer:
+                    writer.close()
+                shelf = rows[0]["shelf"]
+                readers = [ShelfReader(f"{r['path']}/{shelf:06d}") for r in runs if shelf in r["shelves"]]
+                writer = ShelfWriter(f"{new_run}/{shelf:06d}")
+            passed = [r for r in rows if r["kind"] == 2]
+            if passed:
+                yield _batch([(r["bucket"], r["docs"], r["keys"], r["counts"], r["gaps"]) for r in passed], _HIT_TYPES)
+            rows = [r for r in rows if r["kind"] == 0]
+            if not rows:
+                continue
+            bucket = rows[0]["bucket"]
+            both = unpack([r["fingerprints"] for r in rows], "<u8").reshape(-1, 2)
+            key, check = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+            del both
+            counts = unpack([r["counts"] for r in rows], "<u4").astype(np.int64)
+            docs, texts = unpack([r["docs"] for r in rows], "<i8"), unpack([r["keys"] for r in rows], "<i8")
+            entry = np.repeat(np.arange(len(docs)), counts)
+            order = np.lexsort((docs[entry], check, key))
+            first = _starts(key[order], check[order])
+            # the batch's own run, and each window's smallest document in it
+            own = key[order][first], check[order][first]
+            least = np.empty(len(key), np.int64)
+            least[order] = np.repeat(docs[entry][order][first], np.diff(np.append(first, len(key))))
+            hit = docs[entry] > least
+            for r in readers:
+                hit |= owned(r.take(bucket), key, check)
+            writer.add(bucket, *own)
+            if hit.any():
+                # places count from each document's start, so gaps of all rows in a line can be undone together
+                place = _places(unpack([r["gaps"] for r in rows], "<u2"), counts)[hit]
+                yield _batch(list(_by_document(spread(docs[entry[hit]], hit_buckets), entry[hit], place, docs, texts)), _HIT_TYPES)
+        if writer:
+            writer.close()
 
     return run
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+def _spans(key, table):
+    """One document bucket: first places of all answered windows of its documents."""
+    col = {n: table.column(n).to_pylist() for n in ("docs", "keys", "counts", "places")}
+    counts = unpack(col["counts"], "<u4").astype(np.int64)
+    doc, text = np.repeat(unpack(col["docs"], "<i8"), counts), np.repeat(unpack(col["keys"], "<i8"), counts)
+    place = unpack(col["places"], "<u4").astype(np.int64)
+    order = np.lexsort((place, text, doc))
+    doc, text, place = doc[order], text[order], place[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    of = np.flatnonzero(new)
+    places = [squeeze(np.unique(p)) for p in np.split(place, of[1:])]
+    return pa.table([pa.array(doc[of]), pa.array(text[of]), pa.array(places, pa.binary())], names=["doc_id", "text_key", "places"])
 
 
-def repeated_spans(d: DataFrame, buckets: int, k: int = WINDOW, history: DataFrame | None = None, run_path: str | None = None) -> DataFrame:
-    """Word spans that earlier documents own: doc_id, text_key, spans; run_path: where the batch's run is written."""
-    spark = d.sparkSession
-    sent = d.where("doc_id is not null and text is not null").mapInArrow(_sent(buckets, k), _SENT)
-    if history is not None:
-        old = history.select("bucket", F.lit(1).alias("kind"), F.col("owners").alias("docs"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "fingerprints", F.lit(None).cast("binary").alias("gaps"))
-        sent = sent.unionByName(old)
-    doc_buckets = buckets
-    joined = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join(doc_buckets, run_path is not None), _JOINED)
-    if run_path is not None:
-        joined = materialize(joined, "joined")
-        joined.where("to < 0").select("bucket", "fingerprints", "owners").write.parquet(run_path)
-    hits = joined.where("to >= 0").select("to", "docs", "keys", "counts", "places")
-    spans = materialize(hits.repartition(doc_buckets, "to").groupBy("to").applyInArrow(_spans(k), "doc_id long, text_key long, spans binary"), "spans")
-    return spans
+_SPANS = "doc_id long, text_key long, places binary"
 
 
-def buckets_for(d: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    return max(1, -(-int(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
-def cut(d: DataFrame, spans: DataFrame) -> DataFrame:
+def cut(d: DataFrame, spans: DataFrame, k: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words joined by one space."""
 
     def run(batches):
         for b in slices(batches, "text"):
             raw, off = column_bytes(b.column("text"))
-            body, kept, n, gone = raw.tobytes(), [], [], []
-            for i, s in enumerate(b.column("spans").to_pylist()):
+            body, places = raw.tobytes(), b.column("places").to_pylist()
+            some = [i for i, p in enumerate(places) if p]
+            hits: dict[int, np.ndarray] = {}
+            if some:
+                # every place whose window equals an answered one
+                w = scan(b.column("text").take(pa.array(some)), SPACED)
+                key, check, row, at = fingerprints(w, k)
+                cuts = np.searchsorted(row, np.arange(len(some) + 1))
+                for n, i in enumerate(some):
+                    both = _both(key[cuts[n] : cuts[n + 1]], check[cuts[n] : cuts[n + 1]])
+                    hits[i] = np.flatnonzero(np.isin(both.view("V16").ravel(), both[unsqueeze(places[i]).astype(np.int64)].view("V16").ravel())) if len(both) > 1 else np.arange(len(both))
+            kept, n, gone = [], [], []
+            for i in range(b.num_rows):
                 words = body[off[i] : off[i + 1]].split()
                 n.append(len(words))
-                if s:
-                    left, at = [], 0
-                    for a, z in np.frombuffer(s, "<u4").reshape(-1, 2).tolist():
-                        if z > len(words):
-                            raise ValueError("a span ends after its document")
-                        left += words[at:a]
-                        at = z
-                    words = left + words[at:]
+                if i in hits:
+                    step = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(step, hits[i], 1)
+                    np.add.at(step, hits[i] + k, -1)
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     both = d.join(spans.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("t")), "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def dedup(docs: DataFrame, k: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One batch against an empty index: doc_id, n_words, n_removed, kept."""
-    d = _with_key(docs)
-    return cut(d, repeated_spans(d, buckets_for(d, bucket_bytes), k))
+    return both.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 class FingerprintIndex:
-    """Log-structured index for incremental dedup: immutable runs, newest last, and their compaction.
+    """Log-structured index for incremental dedup.
 
-    A batch is judged against all earlier batches and itself; owners are the
-    smallest ids seen, so batches should come in ascending ids to equal one
-    batch of all rows. The number of buckets is fixed when the index is made.
+    The number of buckets is fixed when the index is made. ``runs`` lists what
+    stands, oldest first: path and shelves of each run. ``path`` opens an index
+    that is there, or makes one.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, k: int = WINDOW, fan_in: int = FAN_IN, path: str | None = None):
+    def __init__(self, spark: SparkSession, buckets: int = 1, k: int = WINDOW, fan_in: int = FAN_IN, path: str | None = None):
         self.spark, self.buckets, self.k, self.fan_in = spark, buckets, k, fan_in
         self.path = path or new_path(spark, "index")
-        self.runs: list[str] = []
-        self.made = 0
+        self.runs: list[dict] = []
+        self.version = 0
+        self.fs, self.at = _open(self.path)
+        self.fs.create_dir(self.at, recursive=True)
+        versions = sorted(f.path for f in self.fs.get_file_info(pafs.FileSelector(self.at)) if f.path.endswith(".json"))
+        if versions:
+            with self.fs.open_input_stream(versions[-1]) as f:
+                state = json.loads(f.read())
+            self.buckets, self.k, self.runs, self.version = state["buckets"], state["k"], state["runs"], state["version"]
+
+    @property
+    def shelves(self) -> int:
+        return min(self.buckets, SHELVES)
+
+    def _commit(self, runs: list[dict]) -> None:
+        """A new manifest, written whole and renamed, lists the runs that stand; then what no longer stands is deleted."""
+        old, self.runs, self.version = self.runs, runs, self.version + 1
+        body = json.dumps({"buckets": self.buckets, "k": self.k, "runs": runs, "version": self.version})
+        own = f"{self.at}/{uuid.uuid4().hex}.new"
+        with self.fs.open_output_stream(own) as f:
+            f.write(body.encode())
+        self.fs.move(own, f"{self.at}/manifest-{self.version:09d}.json")
+        for r in old:
+            for shelf in set(r["shelves"]) - {s for x in runs if x["path"] == r["path"] for s in x["shelves"]}:
+                _, at = _open(f"{r['path']}/{shelf:06d}")
+                self.fs.delete_file(at)
 
     def _new(self) -> str:
-        self.made += 1
-        return f"{self.path}/run-{self.made:06d}"
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema(_RUN).parquet(*self.runs) if self.runs else None
-
-    def dedup(self, batch: DataFrame) -> DataFrame:
-        d = _with_key(batch)
-        to = self._new()
-        spans = repeated_spans(d, self.buckets, self.k, self.history(), to)
-        self.runs.append(to)
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        self.fs.create_dir(_open(path)[1], recursive=True)
+        return path
+
+    def _listed(self, path: str) -> dict:
+        names = [f.base_name for f in self.fs.get_file_info(pafs.FileSelector(_open(path)[1]))]
+        return {"path": path, "shelves": sorted(int(n) for n in names if n.isdigit())}
+
+    def places(self, batch: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Ingest a batch (doc_id, text, text_key): the places of windows that earlier documents own."""
+        new, buckets, shelves = self._new(), self.buckets, self.shelves
+        sent = batch.where("doc_id is not null and text is not null").mapInArrow(_sent(buckets, shelves, self.k), _SENT)
+        # shelves are tasks, in which buckets come in order
+        hits = sent.repartition(shelves, "shelf").sortWithinPartitions("shelf", "bucket").mapInArrow(_ingest(self.runs, new, buckets, buckets), _HITS)
+        spans = scratch.table(hits.repartition(shelves, "to").groupBy("to").applyInArrow(_spans, _SPANS), name)
+        self._commit([*self.runs, self._listed(new)])
         if len(self.runs) > self.fan_in:
             self.compact()
-        return cut(d, spans)
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones stay until their readers are done."""
-        to = self._new()
-
-        def merge(key, table):
-            f, o = run_of(unpack(table.column("fingerprints").to_pylist(), "<u8"), unpack(table.column("owners").to_pylist(), "<i8"))
-            return pa.table([pa.array([key[0].as_py()]), pa.array([pack(f, "<u8")], pa.binary()), pa.array([pack(o, "<i8")], pa.binary())], names=["bucket", "fingerprints", "owners"])
+        return spans
 
-        self.history().repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(merge, _RUN).write.parquet(to)
-        self.runs = [to]
-
-    def state(self) -> str:
-        return json.dumps({"runs": self.runs, "buckets": self.buckets, "k": self.k})
+    def dedup(self, batch: DataFrame) -> DataFrame:
+        """Per document of a batch: doc_id, n_words, n_removed, kept."""
+        d = _with_key(batch)
+        return cut(d, self.places(d, Scratch(self.spark, "batch"), "spans"), self.k)
+
+    def compact(self, parts: int = 4) -> None:
+        """Merge all runs into one, a part of the shelves at a time, so that old and new files lie side by side for that part alone."""
+        runs, new = self.runs, self._new()
+        for part in range(parts):
+            todo = sorted({s for r in runs for s in r["shelves"] if s % parts == part})
+            if not todo:
+                continue
+
+            def merge(batches, runs=runs):
+                for b in batches:
+                    for shelf in b.column("shelf").to_pylist():
+                        readers = [ShelfReader(f"{r['path']}/{shelf:06d}") for r in runs if shelf in r["shelves"]]
+                        writer = ShelfWriter(f"{new}/{shelf:06d}")
+                        while left := [r.next["bucket"] for r in readers if r.next is not None]:
+                            writer.add(min(left), *merged([r.take(min(left)) for r in readers]))
+                        writer.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([shelf], pa.int32())], names=["shelf"])
+
+            shelves = self.spark.createDataFrame([(s,) for s in todo], "shelf int").repartition(len(todo), "shelf")
+            shelves.mapInArrow(merge, "shelf int").count()
+            runs = [{"path": r["path"], "shelves": [s for s in r["shelves"] if s % parts != part]} for r in runs]
+            # the merged shelves stand in the new run; they hold what the log held, so it is the oldest
+            self._commit([self._listed(new), *[r for r in runs if r["shelves"]]])
+        for r in {r["path"] for r in runs}:
+            delete(self.spark, r)
+
+
+def buckets_for(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    return max(1, -(-size // bucket_bytes))
+
+
+def dedup(docs: DataFrame, k: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A table, ingested in batches of ascending ids into an index that is deleted afterwards: doc_id, n_words, n_removed, kept."""
+    spark = docs.sparkSession
+    d = _with_key(docs)
+    size = int(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = max(BATCHES, -(-size // batch_bytes))
+    edges = sorted(set(d.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
+    index, scratch = FingerprintIndex(spark, buckets_for(size, bucket_bytes), k), Scratch(spark, "substring")
+    id_ = F.col("doc_id")
+    parts = []
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        batch = d.where((F.lit(True) if low is None else id_ > low) & (F.lit(True) if high is None else id_ <= high))
+        parts.append(index.places(batch, scratch, f"spans{len(parts)}"))
+    delete(spark, index.path)
+    return cut(d, reduce(DataFrame.unionByName, parts), k)
 
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
