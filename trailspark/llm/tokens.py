@@ -1,32 +1,36 @@
 """Token-id output: Arrow stream files of fixed-size-list batches.
 
-Documents are dealt by ranges of ``doc_id`` (ties stay together), tokenized and
-written in ascending order. Each range is one shard file in the shared folder:
-an Arrow stream whose batches hold ``ids`` (fixed-size list of 16- or 32-bit
-unsigned integers, by the vocabulary's size) and ``mask`` (fixed-size list of
-bits, false on padding). Sequences have equal length, so sequence n of a memory
-mapped shard is a slice of one buffer: no parsing, no copy.
-
-A small index table (doc_id, shard, place, count) gives every document's tokens;
-the global start is the shard's offset, a running sum over shard totals, plus
-the place. Shards are written under a task-attempt name and renamed, so a lost
-or repeated task leaves one complete file.
-
-The tokenizer drops white space and lower-cases before it splits, so no token
-spans a white space and equal pieces have equal ids; each worker encodes a piece
-once and gathers the ids of known pieces with array operations.
-
-The corpus is dealt and written in ``rounds`` by ranges of doc_id, which bounds
-how much text lies in shuffle files at a time.
+Documents are tokenized where they are read; only their ids are dealt, by ranges
+of ``doc_id`` (then a hash, then a row number, so that equal ids, null among them,
+can be split), and written in ascending order. Each range is a sequence of shard
+files in the shared folder, begun anew after ``shard_bytes`` of ids at a
+document's end. A shard is an Arrow stream whose batches hold ``ids`` (fixed-size
+list of 16- or 32-bit unsigned integers, by the vocabulary's size), ``mask`` and
+``ends`` (fixed-size lists of bits: false on padding; true on a document's last
+id) and ``docs`` (ids of the documents that end in the sequence). Sequences have
+equal length, so sequence n of a memory mapped shard is a slice of one buffer: no
+parsing, no copy. Shards are written under a name of their own and renamed, so a
+lost or repeated task leaves one complete file.
+
+A file tells all of its documents: ``read_back`` reads nothing else but the list
+of shards, and finds global starts from the files' own totals, by sums within and
+over the ranges.
+
+The default tokenizer drops white space and lower-cases before it splits, so no
+token spans a white space and equal pieces have equal ids; each worker encodes a
+piece once and gathers the ids of known pieces with array operations. Tokenizers
+that normalise or split otherwise encode whole texts.
 
 Defined results: a null or empty text is the end id alone; null ids come first;
-repeated ids keep a stable order by text; an empty table gives an empty index;
-other columns are ignored.
+rows of equal id are ordered by a hash of their ids; an empty table gives no
+shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path
+from ._store import Scratch, new_path
 from ._text import _LOWER, chunks, column_bytes, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -46,7 +50,13 @@ LENGTH = 2048
 BATCH = 64
 #: Known pieces a worker keeps.
 PIECES = 1_500_000
+#: Bytes of ids after which a shard ends with its document.
 SHARD_BYTES = 16 << 20
+#: Ranges of documents, each written by one task.
+RANGES = 8192
+#: How the default vocabulary normalises and splits (fixed values); only such texts may be cut into pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -89,7 +99,7 @@ def pieces(data: np.ndarray, off: np.ndarray, fine: bool) -> tuple[np.ndarray, n
 
 
 class Encoder:
-    """Ids of a column of texts; a piece is encoded once and remembered by its hash and length."""
+    """Ids of a column of texts; a piece is encoded once and remembered by its 64-bit hash (at PIECES pieces, two share one with a chance below 10^-7)."""
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
@@ -98,6 +108,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.end = end
+        told = json.loads(self.tokenizer.to_str())
+        self.cuts = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, SPLITTER)
         self._forget()
 
     def _forget(self) -> None:
@@ -120,6 +132,10 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with the end id after each, counts)."""
+        if not self.cuts:
+            batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            got = [[*e.ids, self.end] for e in batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for g in got for i in g), self.kind, sum(map(len, got))), np.fromiter(map(len, got), np.int64, len(got))
         data, off = column_bytes(column)
         # special strings are found in the text as it stands, so such chunks are neither lower-cased nor cut
         fine = not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any()
@@ -156,38 +172,58 @@ def encoder_for(path: str, end: int = END) -> Encoder:
 
 
 def schema(kind: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16() if kind.itemsize == 2 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    bits = pa.list_(pa.bool_(), length)
+    return pa.schema([("ids", pa.list_(pa.uint16() if kind.itemsize == 2 else pa.uint32(), length)), ("mask", bits), ("ends", bits), ("docs", pa.list_(pa.int64()))])
+
+
+def _bits(x: np.ndarray, length: int) -> pa.FixedSizeListArray:
+    return pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(pa.bool_(), len(x), [None, pa.py_buffer(np.packbits(x, bitorder="little").tobytes())]), length)
 
 
 class ShardWriter:
-    """Packs a stream of ids into sequences; the last one is padded."""
+    """Packs documents into sequences; the last one is padded."""
 
     def __init__(self, sink, kind: np.dtype, length: int = LENGTH, batch: int = BATCH):
         self.kind, self.length, self.size = kind, length, batch * length
         self.schema = schema(kind, length)
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.held = bytearray()
-        self.count = 0
+        #: Ends (exclusive) and ids of the documents held, counted from the first id held.
+        self.ends: list[int] = []
+        self.docs: list[int | None] = []
+        self.count = self.documents = 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: bytes, doc: int | None) -> None:
+        """One whole document."""
         self.held += ids
+        self.ends.append(len(self.held) // self.kind.itemsize)
+        self.docs.append(doc)
         self.count += len(ids) // self.kind.itemsize
-        step = self.size * self.kind.itemsize
-        while len(self.held) >= step:
-            self._batch(np.frombuffer(bytes(self.held[:step]), self.kind), self.size)
-            del self.held[:step]
-
-    def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
-        bits = pa.Array.from_buffers(pa.bool_(), len(mask), [None, pa.py_buffer(np.packbits(mask, bitorder="little").tobytes())])
-        flat = pa.array(ids.astype(self.kind.newbyteorder("=")))
-        self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(flat, self.length), pa.FixedSizeListArray.from_arrays(bits, self.length)], schema=self.schema))
+        self.documents += 1
+        if len(self.held) >= self.size * self.kind.itemsize:
+            whole = len(self.held) // self.kind.itemsize // self.size * self.size
+            data = np.frombuffer(bytes(self.held[: whole * self.kind.itemsize]), self.kind)
+            del self.held[: whole * self.kind.itemsize]
+            self._write(data, whole)
+
+    def _write(self, ids: np.ndarray, real: int) -> None:
+        done = sum(1 for e in self.ends if e <= len(ids))
+        ends = np.array(self.ends[:done], dtype=np.int64) - 1
+        for s in range(0, len(ids), self.size):
+            part = ids[s : s + self.size]
+            own = (ends >= s) & (ends < s + len(part))
+            flags = np.zeros(len(part), bool)
+            flags[ends[own] - s] = True
+            lists = np.searchsorted(ends[own] - s, np.arange(0, len(part) + 1, self.length))
+            docs = pa.array([d for d, o in zip(self.docs[:done], own.tolist(), strict=True) if o], pa.int64())
+            self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(part.astype(self.kind.newbyteorder("="))), self.length), _bits(np.arange(s, s + len(part)) < real, self.length), _bits(flags, self.length), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), docs)], schema=self.schema))
+        self.ends, self.docs = [e - len(ids) for e in self.ends[done:]], self.docs[done:]
 
     def close(self) -> None:
         rest = np.frombuffer(bytes(self.held), self.kind)
         if len(rest):
             whole = -(-len(rest) // self.length) * self.length
-            self._batch(np.concatenate([rest, np.zeros(whole - len(rest), self.kind)]), len(rest))
+            self._write(np.concatenate([rest, np.zeros(whole - len(rest), self.kind)]), len(rest))
         self.out.close()
 
 
@@ -230,91 +266,105 @@ def open_shard(path: str) -> Shard:
     return Shard(pa.memory_map(local) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(local))
 
 
-def _bounds(docs: DataFrame, rounds: int) -> list[int]:
-    if rounds < 2:
-        return []
-    got = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / rounds for i in range(1, rounds)], 1000).alias("q")).first()["q"]
-    return sorted(set(got or []))
-
-
-def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, length: int = LENGTH, end: int = END, rounds: int = 3, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write all documents; returns the index: doc_id, shard, path, place, n_tokens."""
+def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, length: int = LENGTH, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write all documents; returns the shards: part (range), shard, path, n_docs, n_tokens."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
     folder = folder or new_path(spark, "tokens")
     fs, local = _open(folder)
     fs.create_dir(local, recursive=True)
     vocabulary = vocabulary or vocabulary_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = _bounds(d, rounds)
-    parts = []
-    for i in range(len(bounds) + 1):
-        part = d
-        if bounds:
-            above = F.col("doc_id") > bounds[i - 1] if i else F.lit(True)
-            below = F.col("doc_id") <= bounds[i] if i < len(bounds) else F.lit(True)
-            part = d.where(above & below if i else (below | F.col("doc_id").isNull()))
-        total = int(part.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-        # shards are bounded by the text they hold, whatever the corpus' size
-        n = max(1, -(-total // shard_bytes))
-        dealt = part.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        parts.append(materialize(dealt.mapInArrow(_writer(folder, vocabulary, length, end, i), "doc_id long, round int, shard int, path string, place long, n_tokens long, rank long"), f"index{i}"))
-    index = parts[0]
-    for p in parts[1:]:
-        index = index.unionByName(p)
-    return index
-
-
-def _writer(folder: str, vocabulary: str, length: int, end: int, part: int):
+    encoded = scratch.table(d.mapInArrow(_encoded(vocabulary, end), "doc_id long, ids binary").select("*", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row")), "encoded")
+    total = int(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc()]
+    dealt = encoded.repartitionByRange(min(RANGES, max(1, -(-total // shard_bytes))), *order).sortWithinPartitions(*order)
+    shards = scratch.table(dealt.select("doc_id", "ids").mapInArrow(_writer(folder, vocabulary, end, length, shard_bytes), _SHARDS), "shards")
+    scratch.drop("encoded")
+    return shards
+
+
+_SHARDS = "part int, shard int, path string, n_docs long, n_tokens long"
+
+
+def _encoded(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        context = TaskContext.get()
-        shard = context.partitionId()
-        fs, local = _open(folder)
-        name = f"part-{part:03d}-{shard:06d}.arrows"
-        own = f"{local}/_{name}.{context.taskAttemptId()}"
-        encoder = writer = sink = None
-        place = rank = 0
+        encoder = encoder_for(vocabulary, end)
         for b in chunks(batches, "text"):
-            if writer is None:
-                encoder = encoder_for(vocabulary, end)
-                sink = fs.open_output_stream(own)
-                writer = ShardWriter(sink, encoder.kind, length)
             ids, n = encoder.encode(b.column("text"))
-            writer.add(ids.tobytes())
-            places = place + np.cumsum(n) - n
-            place += int(n.sum())
-            size = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.full(size, part, np.int32)), pa.array(np.full(size, shard, np.int32)), pa.array([f"{folder}/{name}"] * size), pa.array(places), pa.array(n), pa.array(np.arange(rank, rank + size))], names=["doc_id", "round", "shard", "path", "place", "n_tokens", "rank"]
-            )
-            rank += size
-        if writer is not None:
+            at = np.append(0, np.cumsum(n)) * encoder.kind.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), data], names=["doc_id", "ids"])
+
+    return run
+
+
+def _writer(folder: str, vocabulary: str, end: int, length: int, shard_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        part = TaskContext.get().partitionId()
+        fs, local = _open(folder)
+        kind = encoder_for(vocabulary, end).kind
+        shard, writer, sink, own = 0, None, None, ""
+
+        def finish():
             writer.close()
             sink.close()
+            name = f"part-{part:05d}-{shard:05d}.arrows"
             fs.move(own, f"{local}/{name}")
+            cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([writer.documents], pa.int64()), pa.array([writer.count], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "shard", "path", "n_docs", "n_tokens"])
+
+        for b in batches:
+            for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                if writer is None:
+                    own = f"{local}/_{uuid.uuid4().hex}"
+                    sink = fs.open_output_stream(own)
+                    writer = ShardWriter(sink, kind, length)
+                writer.add(ids.as_py(), doc)
+                if writer.count * kind.itemsize >= shard_bytes:
+                    yield finish()
+                    shard, writer = shard + 1, None
+        if writer is not None:
+            yield finish()
 
     return run
 
 
-def read_back(index: DataFrame) -> DataFrame:
+def documents(path: str) -> Iterator[tuple[int | None, int, int, int]]:
+    """(doc_id, place, n_tokens, crc32) of a shard's documents, read batch by batch."""
+    fs, local = _open(path)
+    place = n = crc = 0
+    with fs.open_input_stream(local) as f:
+        for b in pa.ipc.open_stream(f):
+            real = int(b.column("mask").values.true_count)
+            ids = b.column("ids").values.to_numpy(zero_copy_only=True)[:real].astype("<u4")
+            stops = np.flatnonzero(b.column("ends").values.to_numpy(zero_copy_only=False)[:real]) + 1
+            at = 0
+            for stop, doc in zip(stops.tolist(), b.column("docs").values.to_pylist(), strict=True):
+                crc, n, at = zlib.crc32(ids[at:stop], crc), n + stop - at, stop
+                yield doc, place, n, crc
+                place, n, crc = place + n, 0, 0
+            if at < real:
+                crc, n = zlib.crc32(ids[at:], crc), n + real - at
+
+
+def read_back(shards: DataFrame) -> DataFrame:
     """Per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    spark: SparkSession = index.sparkSession
-    # one number a shard, whose text is bounded from below by SHARD_BYTES
-    sums = {(r["round"], r["shard"]): int(r["n"]) for r in index.groupBy("round", "shard").agg(F.sum("n_tokens").alias("n")).collect()}
-    offsets, before = [], 0
-    for key in sorted(sums):
-        offsets.append((*key, before))
-        before += sums[key]
-    table = spark.createDataFrame(offsets, "round int, shard int, offset long")
-    placed = index.join(F.broadcast(table) if len(offsets) <= 50_000 else table, ["round", "shard"])
+    scratch = Scratch(shards.sparkSession, "read")
 
     def run(batches):
-        held: tuple[str, Shard] | None = None
+        names = ["part", "shard", "doc_id", "place", "n_tokens", "ids_crc32"]
         for b in batches:
-            crc = []
-            for path, place, n in zip(b.column("path").to_pylist(), b.column("place").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                if held is None or held[0] != path:
-                    held = (path, open_shard(path))
-                crc.append(zlib.crc32(held[1].tokens(place, n).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return placed.select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "path", "place").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for part, shard, path in zip(*(b.column(c).to_pylist() for c in ("part", "shard", "path")), strict=True):
+                doc, place, n, crc = (list(x) for x in zip(*documents(path), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc), pa.int32()), pa.array([shard] * len(doc), pa.int32()), *[pa.array(x, pa.int64()) for x in (doc, place, n, crc)]], names=names)
+
+    files = max(1, min(RANGES, shards.count()))
+    found = scratch.table(shards.repartition(files, "part", "shard").select("part", "shard", "path").mapInArrow(run, "part int, shard int, doc_id long, place long, n_tokens long, ids_crc32 long"), "documents")
+    totals = scratch.table(found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n")), "totals")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range, RANGES at most
+    ranges = totals.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("base"))
+    own = totals.select(F.col("part").alias("q"), F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("shard")), F.lit(0)).alias("within"))
+    offsets = own.join(ranges, F.col("q") == F.col("p")).select("q", "s", (F.col("base") + F.col("within")).alias("offset"))
+    return found.join(offsets, (F.col("part") == F.col("q")) & (F.col("shard") == F.col("s"))).select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
