@@ -13,19 +13,18 @@ so ties, repeated rows and null ids need nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -117,7 +116,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """Per document its spans, by kind as listed in KINDS, then start."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             found = []
             for t in b.column("text"):
                 body = t.as_py() or ""
@@ -137,7 +136,3 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.round(F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0)), 3).alias("top_score")
     )
-
-
-def base_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans if k in BASE).encode()).hexdigest()

@@ -8,11 +8,14 @@ three at ``ALPHA`` is a candidate. Its p-value is the chance that prose of that
 length would look as random, from the log-likelihood ratio of uniform letters
 against letter frequencies of prose: P(ratio >= r) <= exp(-r) under prose
 (Markov's bound on a likelihood ratio), so longer tokens earn smaller values.
-Candidates of one document are accepted by the Benjamini-Hochberg step-up rule
-at ``FDR``; the number of tests is the number of tokens tested in the document.
-
-Defined results: null and empty texts have no spans; rows are judged alone, so
-ties, repeated rows and null ids need nothing; other columns are ignored.
+Candidates are accepted by the Benjamini-Hochberg step-up rule at ``FDR`` over all
+tokens that the corpus holds: p-values are counted in ``BINS`` bins a unit of their
+logarithm, a bin counts by its largest value, and the number of tests is the
+number of tokens of ``LEAST`` letters or more.
+
+Defined results: null and empty texts have no spans; repeated rows count as often
+as they stand; ties, null ids and other columns need nothing; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Scratch
+from ._text import slices
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
 ALPHA = 0.001
 FDR = 0.01
-LEAST = 20
+LEAST = 12
+BINS = 8
 
 _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -57,6 +63,7 @@ def _prose(alphabet: str) -> np.ndarray:
 
 
 _TABLE = {name: ({c: i for i, c in enumerate(a)}, _prose(a)) for name, a in ALPHABETS}
+_RATIO = {name: {c: math.log(1 / len(a)) - math.log(p) for c, p in zip(a, _prose(a), strict=True)} for name, a in ALPHABETS}
 
 
 def _upper(z: float) -> float:
@@ -65,15 +72,23 @@ def _upper(z: float) -> float:
 
 def encoding(token: str) -> str | None:
     have = set(token)
-    return next((name for name, a in ALPHABETS if have <= set(a)), None)
+    return next((name for name, a in _RATIO.items() if have <= a.keys()), None)
+
+
+def chance(token: str) -> tuple[str | None, float]:
+    """(encoding, p-value under prose)."""
+    name = encoding(token)
+    if name is None:
+        return None, 1.0
+    return name, math.exp(-max(0.0, min(sum(map(_RATIO[name].__getitem__, token)), 700.0)))
 
 
 def battery(token: str) -> tuple[str | None, dict[str, float], float]:
     """(encoding, p-value of each test under uniform letters, p-value under prose)."""
-    name = encoding(token)
+    name, p = chance(token)
     if name is None:
         return None, {}, 1.0
-    index, prose = _TABLE[name]
+    index, _ = _TABLE[name]
     x = np.array([index[c] for c in token])
     n, k = len(x), len(index)
     seen = np.bincount(x, minlength=k)
@@ -94,8 +109,7 @@ def battery(token: str) -> tuple[str | None, dict[str, float], float]:
         tests["serial"] = 2 * _upper(abs(r + 1 / n) * math.sqrt(n))
     else:
         tests["serial"] = 0.0
-    ratio = float((np.log(1 / k) - np.log(prose[x])).sum())
-    return name, tests, min(1.0, math.exp(-max(0.0, min(ratio, 700.0))))
+    return name, tests, p
 
 
 def accepted(p: list[float], rate: float = FDR) -> list[bool]:
@@ -106,37 +120,69 @@ def accepted(p: list[float], rate: float = FDR) -> list[bool]:
     return [i in keep for i in range(len(p))]
 
 
-def find(text: str) -> list[tuple[str, int, int, float]]:
-    """All spans by start, then kind as listed, with a score."""
+def proposed(text: str) -> tuple[list[tuple[str, int, int, float]], list[tuple[int, int, float]], int]:
+    """(base spans with a score, candidates with their p-value, number of tokens tested)."""
     out: list[tuple[str, int, int, float]] = []
     for m in _ASSIGN.finditer(text):
         if m.end(1) - m.start(1) >= 6:
             out.append(("assign", m.start(), m.end(), 0.9))
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), 0.95) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    candidates, tested = [], 0
     if _LONG.search(text):
         out += [("hex", m.start(), m.end(), 0.8) for m in _HEX.finditer(text)]
-        tokens = [m for m in _TOKEN.finditer(text)]
-        measured = [battery(m[0].rstrip("=")) for m in tokens]
-        for m, (name, tests, p), take in zip(tokens, measured, accepted([p if name and min(tests.values()) >= ALPHA else 1.0 for name, tests, p in measured]), strict=True):
-            if take:
-                out.append(("random", m.start(), m.end(), round(1 - p, 6)))
+        for m in _TOKEN.finditer(text):
+            token = m[0].rstrip("=")
+            tested += 1
+            # a value above the rate is accepted in no corpus, so its tests are not needed
+            if chance(token)[1] <= FDR and min(battery(token)[1].values()) >= ALPHA:
+                candidates.append((m.start(), m.end(), chance(token)[1]))
+    return out, candidates, tested
+
+
+def find(text: str) -> list[tuple[str, int, int, float]]:
+    """All spans of a corpus of this text alone, by start, then kind as listed, with a score."""
+    out, candidates, tested = proposed(text)
+    take = accepted([p for *_, p in candidates] + [1.0] * (tested - len(candidates)))
+    out += [("random", s, e, round(1 - p, 6)) for (s, e, p), t in zip(candidates, take, strict=False) if t]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def threshold(bins: dict[int, int], tested: int, rate: float = FDR) -> int:
+    """The least bin that the step-up rule accepts over a corpus' bins (floor of -ln p times BINS): its largest value is at most the rate times the share of tokens at or beyond it."""
+    total, least = 0, 1 << 30
+    for b in sorted(bins, reverse=True):
+        total += bins[b]
+        if math.exp(-b / BINS) <= rate * total / tested:
+            least = b
+    return least
+
+
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,stop:long,score:double>>"
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("bin", pa.int32())])
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its spans by start, then kind."""
 
     def run(batches):
-        for b in batches:
-            found = [[{"kind": k, "start": s, "stop": e, "score": p} for k, s, e, p in find(t.as_py() or "")] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "spans"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+        for b in slices(batches, "text"):
+            found, tests = [], []
+            for t in b.column("text"):
+                out, candidates, tested = proposed(t.as_py() or "")
+                rows = [(k, s, e, p, None) for k, s, e, p in out] + [("random", s, e, round(1 - p, 6), int(-math.log(p) * BINS)) for s, e, p in candidates]
+                found.append([dict(zip(("kind", "start", "stop", "score", "bin"), r, strict=True)) for r in sorted(rows, key=lambda x: (x[1], KINDS.index(x[0])))])
+                tests.append(tested)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(_SPAN)), pa.array(tests, pa.int64())], names=["doc_id", "spans", "tested"])
+
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = Scratch(docs.sparkSession, "secrets").table(d.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,stop:long,score:double,bin:int>>, tested long"), "found")
+    tested = int(found.agg(F.sum("tested")).first()[0] or 0)
+    # at most 700 * BINS bins
+    bins = {r["bin"]: r["n"] for r in found.select(F.explode("spans.bin").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    least = threshold(bins, tested)
+    kept = F.filter("spans", lambda x: x["bin"].isNull() | (x["bin"] >= least))
+    return found.select("doc_id", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["score"].alias("score"))).alias("spans"))
 
 
 def _written(spans):

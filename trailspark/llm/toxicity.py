@@ -1,27 +1,35 @@
 """Toxicity with a weighted finite-state pattern grammar.
 
 Words are mapped to terminal classes (insult, threat, target, negation, report).
-A clause ends at punctuation or a line break. Small transducers are composed over
-each clause's classes and emit one category for it: an insult aimed at a target,
-a bare insult, a threat with or without a target, and each of these negated or in
-reported speech. A document is scored from its matched clauses: a logistic model
-over saturating clause counts.
+A clause ends at punctuation or a line break. Five small transducers read a
+clause's classes: insult, threat, target, negation (it opens a scope that ends
+where no class follows for ``SCOPE`` words) and reported speech. ``compose`` makes
+one machine of them, whose final state emits the clause's category: an insult
+aimed at a target, a bare insult, a threat with or without a target, and each of
+these negated or in reported speech. A document is scored from its matched
+clauses: a logistic model over clause counts.
+
+A clause of any length is read in a logarithmic number of steps: each class is a
+map from states to states, and neighbouring maps are composed pairwise.
 
 The insult lexicon is the seed list plus what labelled rows teach: words, and word
 beginnings of ``STEMS`` bytes, that stand in far more toxic than clean rows. Both
 the lexicon and the clause weights are fitted on at most ``SAMPLE`` labelled rows
-(those of smallest hash), never on held-out rows; scoring covers every row whole.
-Labels, language, source and id are never inputs of a score.
+(those of smallest hash, one text an id), never on held-out rows; the sample is
+written once. Scoring covers every row whole. Labels, language, source and id are
+never inputs of a score.
 
 Defined results: a null or empty text scores like a text without a matched
 clause; a null id is held out of nothing and scored; repeated rows score alike;
-without usable labels the seed weights hold; other columns are ignored.
+without usable labels the seed weights hold; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,18 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Scratch
 from ._text import ALNUM, Words, mix, scan, slices, word_hashes
 
 #: At most so many labelled rows are fitted on.
 SAMPLE = 24_000
-#: At most so many learned words and beginnings.
-LEXICON = 20_000
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
-#: Clauses of more matched words than this have the same state as this many: the transducers saturate.
-SATURATE = 4
+#: A negation reaches over at most so many words to the next grammar word.
+SCOPE = 6
 
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Terminal classes; GAP stands between two of them that are more than SCOPE words apart.
+NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(7)
 #: Seed terminals (fixed values).
 SEEDS = {
     INSULT: "idiot moron loser scum trash stupid pathetic worthless disgusting clown",
@@ -54,38 +62,78 @@ SEEDS = {
 CATEGORIES = tuple(f"{what}{aim}{how}" for what in ("insult", "threat") for aim in ("", "+target") for how in ("", "+negated", "+reported"))
 
 
-def _transducers() -> np.ndarray:
-    """Composed transition table: state = (insult, threat, target, negation scope, report scope) as bits; class -> state.
+@dataclass(frozen=True)
+class Machine:
+    """A transducer of a clause: where a symbol leads from a state (it stays where nothing is said), and what the last state says."""
 
-    insult, threat, target: accept on sight. negation: opens a scope that a later
-    insult or threat of the clause falls into. report: marks the clause.
-    """
-    table = np.zeros((64, 6), dtype=np.int64)
-    for s in range(64):
-        table[s] = s
-        table[s, INSULT] = s | 1 | (32 if s & 8 else 0)
-        table[s, THREAT] = s | 2 | (32 if s & 8 else 0)
-        table[s, TARGET] = s | 4
-        table[s, NEGATION] = s | 8
-        table[s, REPORT] = s | 16
-    return table
+    start: str
+    steps: dict[tuple[str, int], str]
+    says: Callable[[str], bool]
 
+    def step(self, state: str, symbol: int) -> str:
+        return self.steps.get((state, symbol), state)
 
-TABLE = _transducers()
 
+def _seen(symbol: int) -> Machine:
+    return Machine("no", {("no", symbol): "yes"}, lambda s: s == "yes")
 
-def _outputs() -> np.ndarray:
-    """Category of each final state, -1 for none."""
-    out = np.full(64, -1, dtype=np.int64)
-    for s in range(64):
-        if s & 3:
-            what, aim = (0 if s & 1 else 1), bool(s & 4)
-            how = 2 if s & 16 else 1 if s & 32 else 0
-            out[s] = what * 6 + aim * 3 + how
-    return out
+
+#: The grammar's transducers.
+MACHINES = {
+    "insult": _seen(INSULT),
+    "threat": _seen(THREAT),
+    "target": _seen(TARGET),
+    "report": _seen(REPORT),
+    # an insult or threat in an open scope is negated for good
+    "negation": Machine(
+        "closed",
+        {("closed", NEGATION): "open", ("open", GAP): "closed", ("open", INSULT): "open, hit", ("open", THREAT): "open, hit", ("open, hit", GAP): "hit", ("hit", NEGATION): "open, hit"},
+        lambda s: s.endswith("hit"),
+    ),
+}
 
 
-OUTPUT = _outputs()
+def category(said: dict[str, bool]) -> int:
+    """Place in CATEGORIES of what the transducers say, -1 for none."""
+    if not (said["insult"] or said["threat"]):
+        return -1
+    what, how = 0 if said["insult"] else 1, 2 if said["report"] else 1 if said["negation"] else 0
+    return what * 6 + said["target"] * 3 + how
+
+
+def compose(machines: dict[str, Machine]) -> tuple[np.ndarray, np.ndarray]:
+    """All machines at once: (state, symbol) -> state over their reachable joint states, the first being the start, and each state's category."""
+    states = {tuple(m.start for m in machines.values()): 0}
+    todo, table = list(states), []
+    while todo:
+        now = todo.pop(0)
+        row = []
+        for symbol in range(GAP + 1):
+            after = tuple(m.step(s, symbol) for m, s in zip(machines.values(), now, strict=True))
+            if after not in states:
+                states[after] = len(states)
+                todo.append(after)
+            row.append(states[after])
+        table.append(row)
+    said = [category({n: m.says(s) for (n, m), s in zip(machines.items(), joint, strict=True)}) for joint in states]
+    return np.array(table, dtype=np.uint8), np.array(said, dtype=np.int64)
+
+
+TABLE, OUTPUT = compose(MACHINES)
+
+
+def final_states(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The state in which each run of symbols ends; first: where the runs begin."""
+    maps = TABLE.T[symbols]
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(symbols))))
+    while len(run) > len(first):
+        place = np.arange(len(run)) - np.searchsorted(run, run)
+        left = np.flatnonzero(place % 2 == 0)
+        paired = (left + 1 < len(run)) & (run[np.minimum(left + 1, len(run) - 1)] == run[left])
+        kept = maps[left]
+        kept[paired] = np.take_along_axis(maps[left[paired] + 1], kept[paired].astype(np.int64), axis=1)
+        maps, run = kept, run[left]
+    return maps[:, 0]
 
 
 @dataclass
@@ -103,8 +151,8 @@ class Model:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Whether a category occurs, and how often beyond once, saturating."""
-    return np.concatenate([(counts > 0).astype(float), np.log1p(np.minimum(np.maximum(counts - 1, 0), SATURATE))], axis=1)
+    """Whether a category occurs, and the logarithm of how often beyond once."""
+    return np.concatenate([(counts > 0).astype(float), np.log1p(np.maximum(counts - 1, 0))], axis=1)
 
 
 def seeds() -> Model:
@@ -158,19 +206,12 @@ def clause_counts(w: Words, model: Model) -> np.ndarray:
     clause = stops[w.starts[some]]
     row = np.searchsorted(w.rows, some, "right") - 1
     new = np.append(True, (clause[1:] != clause[:-1]) | (row[1:] != row[:-1]))
+    far = ~new & (np.diff(some, prepend=0) > SCOPE)
+    symbols = np.insert(classes[some], np.flatnonzero(far), GAP)
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(some)))
-    state = np.zeros(len(first), dtype=np.int64)
-    # one step of every clause at a time
-    alive, step = np.arange(len(first)), 0
-    kind = classes[some]
-    while alive.size:
-        state[alive] = TABLE[state[alive], kind[first[alive] + step]]
-        step += 1
-        alive = alive[size[alive] > step]
-    category = OUTPUT[state]
-    ok = category >= 0
-    np.add.at(counts, (row[first[ok]], category[ok]), 1)
+    said = OUTPUT[final_states(symbols, first + np.cumsum(far)[first])]
+    ok = said >= 0
+    np.add.at(counts, (row[first[ok]], said[ok]), 1)
     return counts
 
 
@@ -179,12 +220,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE labelled texts that may be learned from: those of smallest hash."""
+    """At most SAMPLE labelled texts that may be learned from, those of smallest hash, one of each id."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     # SAMPLE rows of two numbers: a fixed bound for what is sent
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = joined.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row"))
+    return Scratch(docs.sparkSession, "sample").table(one.select("row.text", "row.toxic"), "sample")
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -233,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 3) -> Model:
     ratio = (F.col("toxic") + 0.1 * rate) / (F.col("rows") + 0.1)
     # far more often toxic than by chance: precision, support and a likelihood ratio
     strong = _counted(sample).where((F.col("toxic") >= least) & (ratio >= 0.85) & (F.col("toxic") * F.log(ratio / rate) >= 6.0))
-    learned = strong.orderBy(F.desc("toxic"), "kind", "hash").limit(LEXICON).collect()
+    # words of several toxic rows of the sample: as bounded as the sample is
+    learned = strong.select("kind", "hash").collect()
     words = np.unique(np.array([r["hash"] for r in learned if r["kind"] == 0], dtype=np.int64).view(np.uint64))
     fresh = words[~_member(model.words, words)]
     order = np.argsort(np.concatenate([model.words, fresh]))
@@ -245,7 +289,6 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 3) -> Model:
         own = pickle.loads(sent.value)
         for b in slices(batches, "text"):
             c = clause_counts(scan(b.column("text"), ALNUM, lower=True), own)
-            # rows of equal counts are one weighted row
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(c.tolist(), pa.list_(pa.int64()))], names=["toxic", "counts"])
 
     rows = sample.select("text", "toxic").mapInArrow(count, "toxic int, counts array<long>").collect()
