@@ -28,7 +28,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.features(gif.to_media(read(spark, sf_dir, "documents"))).drop("n_frames", "duration_cs", "histogram")
+    return gif.features(gif.to_media(read(spark, sf_dir, "documents"))).withColumn("histogram", F.array_join("histogram", "-"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
