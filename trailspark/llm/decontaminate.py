@@ -1,260 +1,202 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-Each item window (``k`` consecutive item words) is a set that a document must
-contain whole, so one token is a sufficient prefix: the window's rarest word by
-document frequency over the corpus. Document words are joined with these
-necessary tokens; the token's place in the window bounds where the window can
-start (positional bound) and the row's word count bounds where it can end
-(length bound); survivors are verified word by word.
-
-The benchmark is shipped to the executors in slices of at most ``slice_bytes``
-of text, so what is sent has a fixed bound whatever the benchmark's size; one
-pass over the documents is made for each slice. Documents are never shuffled
-for a single slice.
+Each item window (``k`` consecutive item words) is a set of word shingles that a
+document must contain whole, so under a global order of shingles by rarity one
+token is a necessary prefix: the window's rarest shingle, by document frequency
+over the corpus. Windows with a shingle that no document holds are dropped.
+
+Two scans of the corpus, whatever the benchmark's size: the first counts in how
+many documents the benchmark's shingles stand, the second gathers the places of
+necessary tokens, each with the words around it. What is sent to executors is a
+bit filter of fixed size; the benchmark itself is never gathered. Places are then
+joined with windows by token, and a candidate must pass the positional bound (the
+window's words before the token lie in the document), the length bound (those
+after it too) and a comparison of all words of the item-sized window.
 
 Defined results: null or empty texts have no words and are never contaminated;
 items without words are ignored; repeated item ids count once; items with a
 null id mark words but are not listed; repeated documents each give a row;
-other columns are ignored; with an empty benchmark nothing is hit.
+other columns are ignored; with an empty benchmark nothing is hit; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, Words, scan, slices
-
-SLICE_BYTES = 16 << 20
-
-
-class WindowIndex:
-    """Windows of a slice of items, keyed by their necessary token."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], k: int = 10):
-        self.k = k
-        #: In string order, so that ascending numbers list ids in that order.
-        self.ids = sorted({i for i, _ in items if i is not None})
-        number = {x: n for n, x in enumerate(self.ids)}
-        words = scan(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for row, (item, _) in enumerate(items):
-            h = words.hashes[words.rows[row] : words.rows[row + 1]].tolist()
-            for w in [h[i : i + k] for i in range(len(h) - k + 1)] if len(h) >= k else [h] if h else []:
-                owners.setdefault(tuple(w), set()).update([number[item]] if item is not None else [])
-        self.length = np.array([len(w) for w in owners], dtype=np.int64)
-        self.matrix = np.zeros((len(owners), k), dtype=np.uint64)
-        for n, w in enumerate(owners):
-            self.matrix[n, : len(w)] = w
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners.values()])]).astype(np.int64)
-        self.owners = np.array([i for x in owners.values() for i in sorted(x)], dtype=np.int64)
-        self.vocabulary = np.unique(np.array([x for w in owners for x in w], dtype=np.uint64))
-        self.order(np.zeros(len(self.vocabulary), dtype=np.int64))
-
-    def order(self, frequency: np.ndarray) -> None:
-        """Choose each window's rarest word; frequency: of each vocabulary word."""
-        n = len(self.length)
-        rank = frequency[np.searchsorted(self.vocabulary, self.matrix).clip(max=max(0, len(self.vocabulary) - 1))] if n else np.zeros((0, self.k))
-        rank = np.where(np.arange(self.k) < self.length[:, None], rank, np.iinfo(np.int64).max) if n else rank
-        place = rank.argmin(axis=1) if n else np.zeros(0, dtype=np.int64)
-        key = self.matrix[np.arange(n), place]
-        by = np.argsort(key, kind="stable")
-        self.key_window, self.key_place, key = by, place[by], key[by]
-        self.keys, first = np.unique(key, return_index=True)
-        self.key_at = np.append(first, n).astype(np.int64)
-        self.table = np.zeros(1 << 18, dtype=bool)
-        self.table[(self.keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-
-    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of each occurrence."""
-        h, none = words.hashes, np.zeros(0, dtype=np.int64)
-        at = np.flatnonzero(self.table[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        if not at.size or not len(self.keys):
-            return none, none
-        key = np.searchsorted(self.keys, h[at]).clip(max=len(self.keys) - 1)
-        same = self.keys[key] == h[at]
-        at, key = at[same], key[same]
-        found_at, found = [none], [none]
-        step = 1 << 18
-        for lo in range(0, len(at), step):  # a common necessary token expands in bounded blocks
-            a, q = at[lo : lo + step], key[lo : lo + step]
-            many = self.key_at[q + 1] - self.key_at[q]
-            entry = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.key_at[q], many)
-            a = np.repeat(a, many)
-            window, start = self.key_window[entry], a - self.key_place[entry]
-            row = np.searchsorted(words.rows, a, "right") - 1
-            ok = (start >= words.rows[row]) & (start + self.length[window] <= words.rows[row + 1])
-            start, window = start[ok], window[ok]
-            for j in range(self.k):
-                ok = (j >= self.length[window]) | (h[np.minimum(start + j, len(h) - 1)] == self.matrix[window, j])
-                start, window = start[ok], window[ok]
-            found_at.append(start)
-            found.append(window)
-        return np.concatenate(found_at), np.concatenate(found)
-
-
-def benchmark_slices(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in slices of bounded text, streamed to the driver partition by partition."""
-    part: list[tuple[str | None, str | None]] = []
-    held = 0
-    for item, body in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).toLocalIterator():
-        part.append((item, body))
-        held += len(body or "") + 64
-        if held >= most:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def _frequency(docs: DataFrame, index: WindowIndex) -> np.ndarray:
-    """Over all documents, how many hold each vocabulary word."""
-    sent = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
-
-    def count(batches):
-        vocabulary = sent.value
-        table = np.zeros(1 << 18, dtype=bool)
-        table[(vocabulary & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-        total = np.zeros(len(vocabulary), dtype=np.int64)
-        for b in slices(batches, "text"):
+from ._store import Scratch, lookup
+from ._text import ALNUM, Words, scan, slices, windows
+
+#: Item texts are cut into windows in batches of so many bytes.
+SLICE_BYTES = 1 << 20
+#: Words of a shingle; shorter windows are one shingle.
+SHINGLE = 5
+#: Bits of the filters that are sent to executors (8 MB).
+FILTER_BITS = 1 << 26
+
+
+# -- the benchmark
+def _windows(k: int, slice_bytes: int):
+    """Each window of each item: its words, their number, its item and the hashes of its shingles in order."""
+
+    def run(batches):
+        for b in slices(batches, "text", slice_bytes):
             w = scan(b.column("text"), ALNUM, lower=True)
-            at = np.flatnonzero(table[(w.hashes & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            key = np.searchsorted(vocabulary, w.hashes[at]).clip(max=len(vocabulary) - 1)
-            same = vocabulary[key] == w.hashes[at]
-            row = np.searchsorted(w.rows, at[same], "right") - 1
-            pairs = np.unique(row * len(vocabulary) + key[same])
-            total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-        got = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(total[got])], names=["word", "n"])
+            raw = w.data.tobytes()
+            words = [raw[s:e].decode() for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+            hashes = {}
+            for s in range(1, min(SHINGLE, k) + 1):
+                h, _, first = windows(w, s)
+                hashes[s] = dict(zip(first.tolist(), h.view(np.int64).tolist(), strict=True))
+            rows = []
+            for i, item in enumerate(b.column("item_id").to_pylist()):
+                a, z = int(w.rows[i]), int(w.rows[i + 1])
+                n = min(k, z - a)
+                s = min(SHINGLE, n)
+                for at in range(a, z - n + 1) if n else ():
+                    rows.append((" ".join(words[at : at + n]), n, item, [hashes[s][j] for j in range(at, at + n - s + 1)]))
+            cols = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())), strict=True)], names=["window", "n", "item", "tokens"])
 
-    out = np.zeros(len(index.vocabulary), dtype=np.int64)
-    if len(out):
-        for word, n in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
-            out[word] = n
-    return out
+    return run
 
 
-def _cover(words: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    step = np.zeros(len(words.hashes) + 1, dtype=np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + length, -1)
-    return np.cumsum(step)[:-1] > 0
+class Filter:
+    """A bit filter of fixed size over 64-bit hashes, two bits each: no hash of the set is missed."""
 
+    def __init__(self, hashes: DataFrame, bits: int = FILTER_BITS):
+        h = F.col(hashes.columns[0])
+        bit = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
+        # at most bits / 64 rows
+        got = hashes.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("word")).toArrow()
+        words = np.zeros(bits // 64, np.int64)
+        words[got.column("slot").to_numpy()] = got.column("word").to_numpy()
+        self.words, self.mask = words.view(np.uint64), np.uint64(bits - 1)
 
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    def test(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be in the set."""
+        at = np.arange(len(h))
+        for shift in (np.uint64(0), np.uint64(32)):
+            bit = (h[at] >> shift) & self.mask
+            at = at[(self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+        return at
 
 
-_HIT = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-SCHEMA = "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, item_ids array<string>"
+# -- the corpus
+def _counted(filter_, sizes: list[int]):
+    """In how many documents each shingle of the filter stands."""
 
+    def run(batches):
+        own = filter_.value
+        for b in slices(batches, "text"):
+            w = scan(b.column("text"), ALNUM, lower=True)
+            for s in sizes:
+                h, row, _ = windows(w, s)
+                at = own.test(h)
+                pairs = np.unique(np.stack([h[at], row[at].astype(np.uint64)]), axis=1)
+                found, n = np.unique(pairs[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-def _indexes(d: DataFrame, benchmark: DataFrame, k: int, slice_bytes: int, item_id: str, item_text: str) -> Iterator[tuple[WindowIndex, bool]]:
-    """(index, whether there are several) of each slice."""
-    todo = benchmark_slices(benchmark, item_id, item_text, slice_bytes)
-    part, several = next(todo, []), False
-    while part is not None:
-        following = next(todo, None)
-        several |= following is not None
-        index = WindowIndex(part, k)
-        index.order(_frequency(d, index))
-        yield index, several
-        part = following
+    return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, hits (merged word spans that item windows cover) and item_ids (sorted)."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = [_search(d, index, several) for index, several in _indexes(d, benchmark, k, slice_bytes, item_id, item_text)]
-    return parts[0].drop("text_key") if len(parts) == 1 else _merge(parts)
+_FOUND = pa.struct([("token", pa.int64()), ("at", pa.int64()), ("lead", pa.int32()), ("words", pa.list_(pa.string()))])
+_SCANNED = "doc_id long, text_key long, n_words long, found array<struct<token:long,at:long,lead:int,words:array<string>>>"
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The documents without a hit, filtered where they are read, slice after slice."""
-    out = docs.select(*columns)
-    for index, _ in _indexes(out.select("doc_id", "text"), benchmark, k, slice_bytes, "item_id", "text"):
-        out = out.mapInArrow(_unhit(out.sparkSession.sparkContext.broadcast(pickle.dumps(index))), out.schema)
-    return out
+def _placed(filter_, sizes: list[int], k: int):
+    """Each document with the places of necessary tokens and the words around them."""
 
+    def around(w: Words, raw: bytes, row: int, at: int) -> dict:
+        a, z = max(int(w.rows[row]), at - k + 1), min(int(w.rows[row + 1]), at + k)
+        return {"lead": at - a, "words": [raw[s:e].decode() for s, e in zip(w.starts[a:z].tolist(), w.ends[a:z].tolist(), strict=True)]}
 
-def _unhit(sent):
     def run(batches):
-        own = pickle.loads(sent.value)
+        own = filter_.value
         for b in slices(batches, "text"):
             w = scan(b.column("text"), ALNUM, lower=True)
-            start, _ = own.find(w)
-            keep = np.ones(b.num_rows, dtype=bool)
-            keep[np.searchsorted(w.rows, start, "right") - 1] = False
-            yield b.filter(pa.array(keep))
+            raw = w.data.tobytes()
+            found: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for s in sizes:
+                h, row, first = windows(w, s)
+                for i in own.test(h).tolist():
+                    r, at = int(row[i]), int(first[i])
+                    found[r].append({"token": int(h[i].view(np.int64)), "at": at - int(w.rows[r]), **around(w, raw, r, at)})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(w.per_row()), pa.array(found, pa.list_(_FOUND))], names=["doc_id", "text_key", "n_words", "found"])
 
     return run
 
 
-def _search(d: DataFrame, index: WindowIndex, keyed: bool) -> DataFrame:
-    """Every row against one slice; keyed: with a digest of the text, by which slices are merged."""
-    sent = d.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+def _joined(rows: DataFrame, table: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows joined to windows of one key, hot keys apart; a key of very many windows is left to the shuffle."""
+    held = rows.groupBy(F.col(left).alias("__key")).agg(F.count("*").alias("__held"))
+    counted = table.join(held, F.col(right) == F.col("__key")).drop("__key")
+    few = counted.groupBy(right).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    if few > 64:
+        return rows.join(counted, F.col(left) == F.col(right)).drop("__held")
+    return lookup(rows, counted, {left: right}, "__held", rows.count(), "inner").drop("__held")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, k: int, slice_bytes: int, doc_id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scanned documents, verified places of windows, items of windows)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    cut = scratch.table(items.mapInArrow(_windows(k, slice_bytes), "window string, n int, item string, tokens array<long>"), "cut")
+    tokens = scratch.table(cut.dropDuplicates(["window"]).select("window", "n", F.posexplode("tokens").alias("place", "token")), "tokens")
+    sizes = sorted(r[0] for r in cut.select(F.least("n", F.lit(SHINGLE))).distinct().collect())
+    send = spark.sparkContext.broadcast
+    counted = d.select("text").mapInArrow(_counted(send(Filter(tokens.select("token"))), sizes), "token long, n long")
+    frequency = scratch.table(counted.groupBy(F.col("token").alias("t")).agg(F.sum("n").alias("df")), "frequency")
+    ranked = tokens.join(frequency, F.col("token") == F.col("t"), "left").select("window", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "place", "token").alias("rank"))
+    rarest = ranked.groupBy("window").agg(F.first("n").alias("n"), F.min("rank").alias("rank")).where("rank.df > 0")
+    necessary = scratch.table(rarest.select("window", "n", "rank.place", F.col("rank.token").alias("need")), "necessary")
+    scanned = scratch.table(d.mapInArrow(_placed(send(Filter(necessary.select("need"))), sizes, k), _SCANNED), "scanned")
+    places = scanned.where(F.size("found") > 0).select("doc_id", "text_key", "n_words", F.inline("found"))
+    start, within = F.col("at") - F.col("place"), F.col("lead") - F.col("place")
+    candidates = _joined(places, necessary, "token", "need").where((start >= 0) & (within >= 0) & (start + F.col("n") <= F.col("n_words")))
+    verified = candidates.where(F.array_join(F.slice("words", within + 1, F.col("n")), " ") == F.col("window"))
+    hits = scratch.table(verified.select("doc_id", "text_key", F.struct(start.alias("start"), (start + F.col("n")).alias("stop")).alias("span"), "window").distinct(), "hits")
+    return scanned, hits, cut.where("item is not null").select(F.col("window").alias("w"), "item").distinct()
 
-    def search(batches):
-        own = pickle.loads(sent.value)
-        for b in slices(batches, "text"):
-            w = scan(b.column("text"), ALNUM, lower=True)
-            start, window = own.find(w)
-            n = b.num_rows
-            s, e = _runs_by_row(_cover(w, start, own.length[window]), w.rows)
-            row = np.searchsorted(w.rows, s, "right") - 1
-            base = w.rows[row]
-            hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], names=["start", "stop"]))
-            many = own.owner_at[window + 1] - own.owner_at[window]
-            entry = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(own.owner_at[window], many)
-            of = np.repeat(np.searchsorted(w.rows, start, "right") - 1, many)
-            pairs = np.unique(of * max(1, len(own.ids)) + own.owners[entry])
-            of, item = pairs // max(1, len(own.ids)), pairs % max(1, len(own.ids))
-            names = pa.array(own.ids, pa.string()).take(pa.array(item))
-            items = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), names)
-            keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in b.column("text").to_pylist()] if keyed else [b""] * n
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.per_row()), hits, items, pa.array(keys, pa.binary())], names=["doc_id", "n_words", "hits", "item_ids", "text_key"])
-
-    return d.mapInArrow(search, f"{SCHEMA}, text_key binary")
-
-
-def _runs_by_row(mask: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of covered words, cut where rows end."""
-    s, e = _runs(mask)
-    cut = rows[1:-1]
-    cut = np.unique(cut[(cut > 0) & (cut < len(mask))])
-    cut = cut[mask[cut] & mask[cut - 1]] if cut.size else cut
-    return np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
-
-
-def _merge(parts: list[DataFrame]) -> DataFrame:
-    """Results of several slices, by document and text; rows equal in both repeat in every slice, so the first slice says how often."""
-    union = parts[0].withColumn("part", F.lit(0))
-    for n, p in enumerate(parts[1:], 1):
-        union = union.unionByName(p.withColumn("part", F.lit(n)))
-    merged = union.groupBy("doc_id", "n_words", "text_key").agg(F.count_if(F.col("part") == 0).alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-
-    def fold(batches):
-        for b in batches:
-            joined = []
-            for spans in b.column("hits").to_pylist():
-                own: list[dict] = []
-                for x in spans:
-                    if own and own[-1]["stop"] >= x["start"]:
-                        own[-1]["stop"] = max(own[-1]["stop"], x["stop"])
-                    else:
-                        own.append(dict(x))
-                joined.append(own)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(joined, pa.list_(_HIT)), b.column("item_ids"), b.column("copies")], names=["doc_id", "n_words", "hits", "item_ids", "copies"])
-
-    folded = merged.select("doc_id", "n_words", "hits", "item_ids", "copies").mapInArrow(fold, f"{SCHEMA}, copies long")
-    return folded.select("doc_id", "n_words", "hits", "item_ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+
+_HIT = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+
+
+def _merged(batches):
+    """Spans that touch or overlap as one."""
+    for b in batches:
+        joined = []
+        for spans in b.column("hits").to_pylist():
+            own: list[dict] = []
+            for x in sorted(spans or [], key=lambda x: x["start"]):
+                if own and own[-1]["stop"] >= x["start"]:
+                    own[-1]["stop"] = max(own[-1]["stop"], x["stop"])
+                else:
+                    own.append(dict(x))
+            joined.append(own)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(joined, pa.list_(_HIT)), b.column("item_ids")], names=["doc_id", "n_words", "hits", "item_ids"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, slice_bytes: int = SLICE_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, hits (merged word spans that item windows cover) and item_ids (sorted)."""
+    scanned, hits, items = _hits(docs, benchmark, k, slice_bytes, doc_id, text, item_id, item_text)
+    key = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("t")]
+    spans = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set("span").alias("hits"))
+    listed = _joined(hits.select("doc_id", "text_key", "window").distinct(), items, "window", "w").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item").groupBy("d", "t").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    rows = scanned.select("doc_id", "text_key", "n_words").join(spans, key, "left").drop("d", "t").join(listed, key, "left")
+    return rows.select("doc_id", "n_words", "hits", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")).mapInArrow(_merged, "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, item_ids array<string>")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], k: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents without a hit."""
+    _, hits, _ = _hits(docs, benchmark, k, slice_bytes, "doc_id", "text", "item_id", "text")
+    gone = hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
+    return docs.select(*columns).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t")), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -263,7 +205,3 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
