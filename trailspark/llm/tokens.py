@@ -54,6 +54,8 @@ PIECES = 1_500_000
 SHARD_BYTES = 16 << 20
 #: Ranges of documents, each written by one task.
 RANGES = 8192
+#: Ids are dealt in so many rounds of ascending documents, which bounds what lies in shuffle files at a time.
+ROUNDS = 2
 #: How the default vocabulary normalises and splits (fixed values); only such texts may be cut into pieces.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -278,8 +280,14 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
     encoded = scratch.table(d.mapInArrow(_encoded(vocabulary, end), "doc_id long, ids binary").select("*", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row")), "encoded")
     total = int(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc()]
-    dealt = encoded.repartitionByRange(min(RANGES, max(1, -(-total // shard_bytes))), *order).sortWithinPartitions(*order)
-    shards = scratch.table(dealt.select("doc_id", "ids").mapInArrow(_writer(folder, vocabulary, end, length, shard_bytes), _SHARDS), "shards")
+    edges = sorted(set(encoded.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ROUNDS for i in range(1, ROUNDS)], 1000).alias("q")).first()["q"] or []))
+    id_, shards = F.col("doc_id"), None
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        below = F.lit(True) if high is None else id_ <= high
+        part = encoded.where(below | id_.isNull() if low is None else below & (id_ > low))
+        dealt = part.repartitionByRange(min(RANGES, max(1, -(-total // shard_bytes // ROUNDS))), *order).sortWithinPartitions(*order)
+        made = scratch.table(dealt.select("doc_id", "ids").mapInArrow(_writer(folder, vocabulary, end, length, shard_bytes, i * RANGES), _SHARDS), f"shards{i}")
+        shards = made if shards is None else shards.unionByName(made)
     scratch.drop("encoded")
     return shards
 
@@ -299,9 +307,9 @@ def _encoded(vocabulary: str, end: int):
     return run
 
 
-def _writer(folder: str, vocabulary: str, end: int, length: int, shard_bytes: int):
+def _writer(folder: str, vocabulary: str, end: int, length: int, shard_bytes: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        part = TaskContext.get().partitionId()
+        part = first + TaskContext.get().partitionId()
         fs, local = _open(folder)
         kind = encoder_for(vocabulary, end).kind
         shard, writer, sink, own = 0, None, None, ""
@@ -363,7 +371,7 @@ def read_back(shards: DataFrame) -> DataFrame:
     found = scratch.table(shards.repartition(files, "part", "shard").select("part", "shard", "path").mapInArrow(run, "part int, shard int, doc_id long, place long, n_tokens long, ids_crc32 long"), "documents")
     totals = scratch.table(found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n")), "totals")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    # one row a range, RANGES at most
+    # one row a range, ROUNDS * RANGES at most
     ranges = totals.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("base"))
     own = totals.select(F.col("part").alias("q"), F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("shard")), F.lit(0)).alias("within"))
     offsets = own.join(ranges, F.col("q") == F.col("p")).select("q", "s", (F.col("base") + F.col("within")).alias("offset"))
