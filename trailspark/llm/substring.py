@@ -48,8 +48,8 @@ WINDOW = 13
 BUCKET_BYTES = 14 << 20
 #: A batch of the query holds about so much text, and there are BATCHES at least.
 BATCH_BYTES = 1 << 40
-BATCHES = 4
-FAN_IN = 2
+BATCHES = 6
+FAN_IN = 3
 CHUNK = 4 << 20
 #: Tasks, and files of a run.
 SHELVES = 4096
