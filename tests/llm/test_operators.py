@@ -406,3 +406,142 @@ def test_extra_columns_repeated_and_null_rows(spark):
     for name, run in runs.items():
         a, b = (sorted(map(str, run(x).collect())) for x in (base, wide))
         assert a == b and len(a) == len(rows), name
+
+
+def test_grammar_against_words_one_by_one():
+    """The composed machine against a reader that knows the grammar's rules and nothing else, on random clauses."""
+    import pyarrow as pa
+
+    from trailspark.llm._text import ALNUM, scan
+
+    kinds = {toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "never", toxicity.REPORT: "said", toxicity.NONE: "table"}
+    rng = np.random.default_rng(11)
+    clauses = [rng.choice(6, int(rng.integers(1, 60)), p=[0.7, 0.06, 0.06, 0.06, 0.06, 0.06]).tolist() for _ in range(400)] + [rng.choice(6, 5000, p=[0.5, 0.0, 0.1, 0.1, 0.2, 0.1]).tolist()]
+    want = np.zeros((1, len(toxicity.CATEGORIES)), int)
+    for clause in clauses:
+        what = [k for k in clause if k in (toxicity.INSULT, toxicity.THREAT)]
+        if not what:
+            continue
+        negated, opened, last = False, False, None
+        for i, k in enumerate(clause):
+            if k == toxicity.NONE:
+                continue
+            if last is not None and i - last > toxicity.SCOPE:
+                opened = False
+            negated |= opened and k in (toxicity.INSULT, toxicity.THREAT)
+            opened |= k == toxicity.NEGATION
+            last = i
+        name = ("insult" if toxicity.INSULT in what else "threat") + ("+target" if toxicity.TARGET in clause else "") + ("+reported" if toxicity.REPORT in clause else "+negated" if negated else "")
+        want[0, toxicity.CATEGORIES.index(name)] += 1
+    text = ". ".join(" ".join(kinds[k] for k in c) for c in clauses)
+    got = toxicity.clause_counts(scan(pa.array([text]), ALNUM, lower=True), toxicity.seeds())
+    assert (got == want).all() and (want > 0).sum() >= 10
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on labelled rows that were not learned from."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.digest(toxicity.score(docs, toxicity.fit(docs, labels))).collect()}
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if r["toxic"] is not None and r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    assert len(held) > 80 and sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+def test_battery():
+    """Each test's statistic by its definition, and what it says of random and of written tokens."""
+    import math
+    import random
+
+    def plain(token, alphabet):
+        x, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+        chi = sum((x.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+        f = k - 1
+        up = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+        high = [a >= k / 2 for a in x]
+        a, b = sum(high), n - sum(high)
+        runs = 1 + sum(p != q for p, q in zip(high, high[1:], strict=False))
+        mean, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        m = sum(x) / n
+        r = sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / sum((p - m) ** 2 for p in x)
+        return [up(((chi / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))), 2 * up(abs(runs - mean) / math.sqrt(var)), 2 * up(abs(r + 1 / n) * math.sqrt(n))]
+
+    rng = random.Random(3)
+    low = passed = 0
+    for _ in range(600):
+        name, alphabet = secrets.ALPHABETS[rng.choice([0, 3, 4])]
+        token = "".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 70)))
+        got, tests, p = secrets.battery(token)
+        alphabet = dict(secrets.ALPHABETS)[got]
+        want = plain(token, alphabet)
+        assert np.allclose([tests[t] for t in ("uniform", "runs", "serial")], want)
+        low += sum(v < 0.05 for v in want)
+        passed += min(want) >= secrets.ALPHA and p < 1e-4
+    assert low < 0.08 * 1800 and passed > 540
+    # the step-up rule over bins never accepts more than the rule over all values, and nearly as much
+    values = [math.exp(-rng.expovariate(0.2)) for _ in range(300)] + [rng.random() for _ in range(3000)]
+    bins = {}
+    for p in values:
+        bins[int(-math.log(p) * secrets.BINS)] = bins.get(int(-math.log(p) * secrets.BINS), 0) + 1
+    least = secrets.threshold(bins, len(values), 0.05)
+    by_bin, by_rule = sum(int(-math.log(p) * secrets.BINS) >= least for p in values), sum(secrets.accepted(values, 0.05))
+    assert 0.9 * by_rule <= by_bin <= by_rule
+
+
+def test_mixing_ties(spark):
+    """Rows of null or equal ids, and rows equal in all, are told apart."""
+    rows = [(None, "a b c d", "x")] * 50 + [(7, f"a b c {i}", "y") for i in range(50)] + [(100 + i, "a b c d", "z") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    first = mixing.mix(docs).collect()
+    taken, target = {}, {}
+    for r in first:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["times"]
+        target[r["source"]] = r["target"]
+    assert target == {"x": 100.0, "y": 200.0, "z": 300.0} and taken == {"x": 100, "y": 200, "z": 300}
+    key = lambda rows: sorted((r["doc_id"] or 0, r["source"], r["times"]) for r in rows)
+    assert key(first) == key(mixing.mix(docs).collect())
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(40))
+    path = f"file://{tmp_path}/index"
+    one = substring.FingerprintIndex(spark, 5, path=path)
+    assert [r["n_removed"] for r in one.dedup(spark.createDataFrame([(1, words)], "doc_id long, text string")).collect()] == [0]
+    again = substring.FingerprintIndex(spark, path=path)
+    assert again.buckets == 5 and len(again.runs) == 1
+    again.dedup(spark.createDataFrame([(2, "x " + words)], "doc_id long, text string"))
+    again.compact()
+    assert len(again.runs) == 1 and len(list(tmp_path.glob("index/run-*"))) == 1
+    later = substring.FingerprintIndex(spark, path=path).dedup(spark.createDataFrame([(3, "x " + words + " end"), (4, "z " * 30)], "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in later.collect()} == {3: (42, 41), 4: (30, 0)}
+    # windows of one key are told apart by their check
+    key = np.array([5, 5, 9], np.uint64)
+    assert substring.owned((np.array([5, 5, 5], np.uint64), np.array([1, 3, 8], np.uint64)), key, np.array([8, 2, 1], np.uint64)).tolist() == [True, False, False]
+
+
+def test_media_columns(spark):
+    """Frames with unchanged pixels come back through transparency and disposal; damaged files have a defined result."""
+    payload = np.concatenate([gif.payload_of(b"abc" * 192), gif.payload_of(b"abd" * 192), np.arange(576, dtype=np.uint16).astype(np.uint8), np.full(576, 7, np.uint8)])
+    whole = gif.encode_all([payload])[0]
+    shown = [gif.luminance(c) for c, _ in gif.render(gif.parse(whole))]
+    assert (np.concatenate([x.ravel() for x in shown]) == payload).all()
+    assert [f.clear is not None for f in gif.parse(whole).frames] == [False, True, False, True]
+    rows = [(1, 3, whole), (2, 3, whole[:-20]), (3, 3, b"no gif"), (4, 3, None), (5, 3, whole[:900] + b"\xff" * 30 + whole[930:])]
+    got = {r["doc_id"]: r for r in gif.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[1]["n_frames"] == 4 and got[1]["duration_cs"] == 4 * gif.DELAY and sum(got[1]["histogram"]) == len(payload)
+    assert all((got[i]["feature"], got[i]["payload_bytes"], got[i]["media_sha256"]) == ("damaged", None, None) for i in (2, 3, 4))
+    assert len(got) == 5
+
+
+def test_pii_checked_kinds():
+    """Numbers with check digits against plain arithmetic, and social numbers by context."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        body = "DE" + f"{rng.randrange(100):02d}" + "".join(rng.choice("0123456789") for _ in range(18))
+        valid = int("".join(str(ord(c) - 55) if c.isalpha() else c for c in body[4:] + body[:4])) % 97 == 1
+        assert (("iban", 8, 8 + len(body)) in pii.find(f"account {body} x")) == valid
+    check = 98 - int("".join(str(ord(c) - 55) if c.isalpha() else c for c in "370400440532013000" + "DE" + "00")) % 97
+    assert ("iban", 0, 22) in pii.find(f"DE{check:02d}370400440532013000")
+    found = lambda t: [x for x in pii.find(t) if x[0] == "ssn"]
+    assert found("social security 123-45-6789") == [("ssn", 16, 27)] and not found("part 123-45-6789") and not found("ssn 000-45-6789") and not found("ssn 923-45-6789") and not found("ssn 123-00-6789")

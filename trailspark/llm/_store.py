@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go afterwards, and what an Arrow batch of long texts may hold is bounded.
+_DURING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}
 #: At most so many keys are broadcast as hot ones.
 HOT = 100_000
 
@@ -35,15 +36,22 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the phases of a run of many short jobs: Spark drops plans, broadcasts and shuffles of finished jobs when the driver's garbage is collected, which it asks for itself only twice an hour."""
+    spark._jvm.System.gc()
+
+
 def write(df: DataFrame, path: str) -> DataFrame:
     """Write a frame as Parquet and read it back; what the write shuffled is dropped."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _DURING}
+    for k, v in _DURING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, lookup
+from ._store import Scratch, lookup, settle
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -54,6 +54,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # a star has no more edges than what it is made from
         now = scratch.table(_small_star(_large_star(now, before[0]), 2 * before[0]), f"round{i}")
         scratch.drop(f"round{i - 1}")
+        settle(edges.sparkSession)
         after = _state(now)
         if after == before:
             break

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, lookup
+from ._store import Scratch, lookup, settle
 from ._text import SPACED, chunks, deflate, groups, inflate, mix, pack, scan, squeeze, unsqueeze, windows
 from .components import components
 
@@ -364,6 +364,7 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
     sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "counts", "k1", "own", "begins", "holders")}).unionByName(row(ranks, 1, **{x: c(x) for x in ("chunk", "bucket", "ranks", "tokens")})).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
     sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
     scratch.drop("packed", *[f"ranks{part}" for part in range(ROUNDS)])
+    settle(docs.sparkSession)
     keyed = scratch.table(_keyed(sets), "keyed")
     placed = _placed(scratch, sets, keyed, _blocks(scratch, keyed), tile_docs)
     linked = _tiles(placed, tile_docs, tile_shingles).groupBy("mode", "block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
@@ -374,6 +375,7 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
         linked = linked.unionByName(tied)
     roots = components(scratch.table(linked, "links"))
     scratch.drop("sets", "placed", "keyed")
+    settle(docs.sparkSession)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("rn", "r1", "r2", "copies", F.coalesce("root", "rep").alias("class_root"))
     found = lookup(known, scratch.table(named, "named"), key, "copies", rows, "left").select("doc_id", "n", "class_root")
     whole = found.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_root", "root", "doc_id").alias("component_id"))
