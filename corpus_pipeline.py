@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm import decontaminate, mixing, ngram_join, tokens, toxicity
-from trailspark.llm._store import materialize, read
+from trailspark.llm._store import materialize, read, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches the threshold go."""
+    """Documents whose toxicity score reaches the threshold go; null and empty texts, null ids and repeated rows are scored like any."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, carry=COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go, every copy of them; null and empty texts stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"), COLUMNS)
 
 
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back."""
+    """Token files of all documents, read back; a null or empty text is the end id alone, null ids come first, repeated rows stand side by side."""
     return tokens.read_back(tokens.write(docs))
 
 
@@ -69,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{n}")
+        settle(spark)
     return docs
