@@ -87,7 +87,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "@" in text:
         out += [("email", s, e) for s, e in emails(text)]
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
