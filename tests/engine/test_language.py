@@ -6,6 +6,7 @@ import json
 import pytest
 
 from trailspark.engine import Engine, to_json
+from trailspark.operators.collect import collect
 from trailspark.operators.results import sort_rows
 from trailspark.plans import rewrite
 from trailspark.plans.errors import QueryError
@@ -75,6 +76,29 @@ def test_collections_are_bounded(spark):
     assert engine.query("N", None)["rowCount"] == 1000
 
 
+def test_collections_of_groups(spark):
+    # a group of many rows, one of nulls alone, a null key, repeated values, text that is JSON
+    data = [("hot", str(i % 1500)) for i in range(6000)] + [("none", None)] * 1100 + [(None, "b"), (None, None), (None, "a"), (None, "b"), ("json", ' {"k":1}'), ("json", '{"k":1}'), ("json", "{")]
+    engine = Engine(spark)
+    engine.register("T", spark.createDataFrame(data, "k string, v string").repartition(5))
+    got = {r["k"]: r for r in rows(engine, "T | summarize n=count(), s=make_set(v), l=make_list(v), m=array_length(make_set(strlen(v))) + 1, t=tostring(make_list(1)) by k")}
+    assert set(got) == {"hot", "none", None, "json"} and [got[k]["n"] for k in ("hot", "none", None, "json")] == [6000, 1100, 4, 3]
+    assert got["hot"]["s"] == sorted(map(str, range(1500)))[:1000] and len(got["hot"]["l"]) == 1000 and got["hot"]["m"] == 5
+    assert got["none"]["s"] == got["none"]["l"] == [] and got["none"]["m"] == 1
+    assert got[None]["s"] == ["a", "b"] and sorted(got[None]["l"]) == ["a", "b", "b"]
+    assert sorted(got["json"]["s"], key=str) == ["{", {"k": 1}] and len(got["json"]["l"]) == 3
+    assert [len(json.loads(got[k]["t"])) for k in ("hot", "none", None, "json")] == [1000, 1000, 4, 3]
+    assert rows(engine, "T | where k == 'absent' | summarize s=make_set(v), n=count()") == [{"s": [], "n": 0}]
+    assert rows(engine, "T | where k == 'absent' | summarize s=make_set(v) by k") == []
+
+
+def test_collection_bytes(spark):
+    wide = spark.createDataFrame([(1, "x" * 300), (1, "y" * 300), (1, "z" * 10)], "k long, v string").coalesce(1)
+    assert [r["collected"] for r in collect(wide, ["k"], "v", False, most_bytes=320).collect()] == ["[" + "x" * 300 + "," + "z" * 10 + "]"]
+    assert [r["collected"] for r in collect(wide, [], "v", True, most=2).collect()] == ["[" + "x" * 300 + "," + "y" * 300 + "]"]
+    assert collect(wide.limit(0), ["k"], "v", True).count() == collect(wide.limit(0), [], "v", True).count() == 0
+
+
 @pytest.mark.parametrize(
     "query",
     [

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from . import values
 from .values import DYNAMIC, LONG, REAL, STRING, Value, text
 
-#: Most values and bytes of a collection.
-MAX_VALUES = 1000
-MAX_BYTES = 1 << 20
-
-
 def _numeric(v: Value) -> tuple[Column, str]:
     return (v.column, v.type) if v.type in (LONG, REAL) else (v.column.cast("bigint"), LONG) if v.type == values.BOOL else (text(v).try_cast("double"), REAL)
 
@@ -49,8 +44,12 @@ def _extreme(f):
     return run
 
 
-def _element(v: Value) -> Column:
+def element(a: list[Value]) -> Value:
     """JSON text of a collected value; text that looks like JSON is taken as it is."""
+    return Value(_json_text(a[0]), DYNAMIC)
+
+
+def _json_text(v: Value) -> Column:
     if v.type == DYNAMIC:
         return v.column
     if v.type != STRING:
@@ -60,29 +59,8 @@ def _element(v: Value) -> Column:
     return F.when(looks, trimmed).otherwise(values.to_dynamic(v))
 
 
-def _bounded(elements: Column) -> Column:
-    """A JSON array of at most MAX_VALUES elements and MAX_BYTES of their text."""
-    start = F.struct(F.lit(0).cast("bigint").alias("size"), F.array().cast("array<string>").alias("kept"))
-
-    def add(acc: Column, x: Column) -> Column:
-        size = acc["size"] + F.octet_length(x)
-        fits = size <= MAX_BYTES
-        return F.struct(F.when(fits, size).otherwise(acc["size"]).alias("size"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    head = F.slice(elements, 1, MAX_VALUES)
-    # only arrays that could be too large are walked
-    total = F.aggregate(head, F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x))
-    kept = F.when(total <= MAX_BYTES, head).otherwise(F.aggregate(head, start, add)["kept"])
-    return F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]"))
-
-
-def _make_set(a: list[Value]) -> Value:
-    # sorted, so that the result does not depend on the order of rows
-    return Value(_bounded(F.array_sort(F.collect_set(_element(a[0])))), DYNAMIC)
-
-
-def _make_list(a: list[Value]) -> Value:
-    return Value(_bounded(F.collect_list(_element(a[0]))), DYNAMIC)
+#: Collections: name -> whether of distinct values. They are lowered apart, as a buffer of a whole group has no bound.
+COLLECTIONS = {"make_set": True, "make_list": False}
 
 
 AGGREGATES: dict[str, tuple[int, int, str, Callable[[list[Value]], Value]]] = {
@@ -93,7 +71,7 @@ AGGREGATES: dict[str, tuple[int, int, str, Callable[[list[Value]], Value]]] = {
     "min": (1, 1, "min_", _extreme(F.min)),
     "max": (1, 1, "max_", _extreme(F.max)),
     "avg": (1, 1, "avg_", _avg),
-    "make_set": (1, 1, "set_", _make_set),
-    "make_list": (1, 1, "list_", _make_list),
+    "make_set": (1, 1, "set_", element),
+    "make_list": (1, 1, "list_", element),
     "take_any": (1, 1, "any_", _extreme(F.min)),
 }

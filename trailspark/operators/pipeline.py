@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import values
-from trailspark.functions.aggregates import AGGREGATES
+from trailspark.functions.aggregates import AGGREGATES, COLLECTIONS
 from trailspark.functions.values import BOOL, DATETIME, DYNAMIC, LONG, NULL, STRING, TIMESPAN, Value
 from trailspark.plans.errors import QueryError
 from trailspark.plans.nodes import Binary, Call, Item, Literal, Member, Name, Node, Operator, Pipeline, Script, Unary
 
+from .collect import collect
 from .expressions import Binder, folded, term_match
 from .joins import join
 from .relation import ColumnInfo, Relation
@@ -219,8 +220,9 @@ class Lowering:
         inputs = rel.df.select("*", *[v.column.alias(f"__key_{i}") for i, (_, v) in enumerate(keys)]) if keys else rel.df
         used = {n for n, _ in keys}
         made: list[tuple[str, Value]] = []
+        parts: list[tuple[str, Column]] = []
         for n, i in enumerate(op.items, 1):
-            v = self._aggregate(rel, i.expr)
+            v = self._aggregate(rel, i.expr, parts)
             name = i.name or aggregate_name(i.expr) or f"Column{n}"
             if name in used:
                 if i.name:
@@ -230,28 +232,48 @@ class Lowering:
                     name, k = f"{base}{k}", k + 1
             used.add(name)
             made.append((name, v))
-        grouped = inputs.groupBy(*[F.col(f"__key_{i}") for i in range(len(keys))])
-        aggregated = grouped.agg(*[v.column.alias(f"__agg_{i}") for i, (_, v) in enumerate(made)]) if made else inputs.select(*[f"__key_{i}" for i in range(len(keys))]).distinct()
-        columns = [F.col(f"__key_{i}").alias(n) for i, (n, _) in enumerate(keys)] + [F.col(f"__agg_{i}").alias(n) for i, (n, _) in enumerate(made)]
+        by = [f"__key_{i}" for i in range(len(keys))]
+        aggregated = self._parts(inputs, by, parts) if parts else inputs.select(*by).distinct() if by else inputs.agg(F.lit(0).alias("__none"))
+        columns = [F.col(f"__key_{i}").alias(n) for i, (n, _) in enumerate(keys)] + [v.column.alias(n) for n, v in made]
         return Relation(aggregated.select(*columns), tuple(ColumnInfo(n, v.type) for n, v in keys + made))
 
-    def _aggregate(self, rel: Relation, e: Node) -> Value:
+    @staticmethod
+    def _parts(inputs: DataFrame, by: list[str], parts: list[tuple[str, Column]]) -> DataFrame:
+        """A row a group: its keys and each aggregate as __part_i; collections are made apart and meet the others by key."""
+        plain = [(f"__part_{i}", c) for i, (n, c) in enumerate(parts) if n not in COLLECTIONS]
+        kept = [(f"__part_{i}", n, c) for i, (n, c) in enumerate(parts) if n in COLLECTIONS]
+        # without any plain aggregate, a count makes the groups
+        out = inputs.groupBy(*by).agg(*[c.alias(n) for n, c in plain or [("__rows", F.count(F.lit(1)))]])
+        if not kept:
+            return out
+        both = out
+        for name, function, column in kept:
+            held = inputs.select(*by, column.alias("__value"))
+            both = both.unionByName(collect(held, by, "__value", COLLECTIONS[function]).withColumnRenamed("collected", name), allowMissingColumns=True)
+        # one row of each group comes from each frame at most
+        one = [F.first(n, ignorenulls=True).alias(n) for n in out.columns if n not in by]
+        return both.groupBy(*by).agg(*one, *[F.coalesce(F.first(n, ignorenulls=True), F.lit("[]")).alias(n) for n, _, _ in kept])
+
+    def _aggregate(self, rel: Relation, e: Node, parts: list[tuple[str, Column]]) -> Value:
+        """A value over the groups' row; the aggregates it is made of are added to ``parts``."""
         if isinstance(e, Call) and e.name in AGGREGATES:
             low, high, _, lower = AGGREGATES[e.name]
             if not low <= len(e.args) <= high:
                 raise self.fail(f"{e.name}() takes {low} argument{'s' * (low != 1)}", e)
-            return lower([self.binder(rel).bind(a) for a in e.args])
+            v = lower([self.binder(rel).bind(a) for a in e.args])
+            parts.append((e.name, v.column))
+            return Value(F.col(f"__part_{len(parts) - 1}"), v.type)
         binder = self.binder(rel)
         if isinstance(e, Literal):
             return binder.bind(e)
         if isinstance(e, Binary) and e.op in ("+", "-", "*", "/", "%"):
-            return binder._arithmetic(e.op, self._aggregate(rel, e.left), self._aggregate(rel, e.right), e)
+            return binder._arithmetic(e.op, self._aggregate(rel, e.left, parts), self._aggregate(rel, e.right, parts), e)
         if isinstance(e, Unary) and e.op == "-":
-            return binder._arithmetic("-", values.literal(0, LONG), self._aggregate(rel, e.arg), e)
+            return binder._arithmetic("-", values.literal(0, LONG), self._aggregate(rel, e.arg, parts), e)
         if isinstance(e, Call) and e.name in ("toint", "tolong", "toreal", "todouble", "tostring", "array_length", "iff", "coalesce"):
             from trailspark.functions.scalar import FUNCTIONS, Context
 
-            return FUNCTIONS[e.name][2](Context(self.now, lambda m: self.fail(m, e)), [self._aggregate(rel, a) for a in e.args])
+            return FUNCTIONS[e.name][2](Context(self.now, lambda m: self.fail(m, e)), [self._aggregate(rel, a, parts) for a in e.args])
         raise self.fail("summarize takes aggregates", e)
 
     # -- arrays
