@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _KEY = "spark.checkpoint.dir"
 #: Settings while a table is written: its shuffle files go afterwards, and what an Arrow batch of long texts may hold is bounded.
 _DURING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}
+#: For rows of megabytes: how many the Parquet reader holds at a time, and the bytes from which an Arrow batch is full.
+_LARGE = {"rows": "spark.sql.parquet.columnarReaderBatchSize", "batch": "spark.sql.execution.arrow.maxBytesPerBatch"}
 #: At most so many keys are broadcast as hot ones.
 HOT = 100_000
 
@@ -41,11 +43,12 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
-    """Write a frame as Parquet and read it back; what the write shuffled is dropped."""
+def write(df: DataFrame, path: str, **more: int) -> DataFrame:
+    """Write a frame as Parquet and read it back; what the write shuffled is dropped. more: as in _LARGE."""
     spark = df.sparkSession
-    before = {k: spark.conf.get(k) for k in _DURING}
-    for k, v in _DURING.items():
+    during = _DURING | {_LARGE[k]: str(v) for k, v in more.items()}
+    before = {k: spark.conf.get(k) for k in during}
+    for k, v in during.items():
         spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
@@ -66,8 +69,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, new_path(spark, name)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        return write(df, f"{self.path}/{name}")
+    def table(self, df: DataFrame, name: str, **more: int) -> DataFrame:
+        return write(df, f"{self.path}/{name}", **more)
 
     def drop(self, *names: str) -> None:
         for n in names:

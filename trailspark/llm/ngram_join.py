@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, lookup, settle
-from ._text import SPACED, chunks, deflate, groups, inflate, mix, pack, scan, squeeze, unsqueeze, windows
+from ._text import SPACED, chunks, deflate, groups, inflate, mix, pack, release, scan, squeeze, unsqueeze, windows
 from .components import components
 
 K = 5
@@ -54,6 +54,8 @@ TILE_SHINGLES = 1_000_000
 BITS = 512
 CHUNK = 3 << 20
 PARTITIONS = 16_384
+#: So many entries of a bucket are sorted at a time.
+SORTED = 1 << 18
 #: Shingles are counted in so many rounds, which bounds what lies in shuffle files at a time.
 ROUNDS = 2
 
@@ -117,6 +119,8 @@ def _packed(k: int):
             h = h[order]
             begins = np.append(True, h[1:] != h[:-1])[: len(h)]
             yield _batch([(first + i, pack(doc, "<i8"), pack(known, "u1"), pack(counts, "<u4"), pack(k1, "<u8"), pack(k2, "<u8"), pack(own, "u1"), len(h), squeeze(h), pack(np.packbits(begins), "u1"), squeeze(holder[order], step=False))], names)
+            del b, h, holder, order, begins
+        release()
 
     return run
 
@@ -145,6 +149,7 @@ def _asked(buckets: int, part: int, rounds: int):
                 h, times = np.unique(unsqueeze(hashes.as_py()), return_counts=True)
                 to = bucket_of(h, buckets)
                 yield _batch([(int(to[s]), chunk, squeeze(h[s:e]), deflate(np.minimum(times[s:e], 255))) for s, e in groups(to) if to[s] % rounds == part], names)
+        release()
 
     return run
 
@@ -152,18 +157,42 @@ def _asked(buckets: int, part: int, rounds: int):
 _ROW = "chunk long, kind int, bucket long, docs binary, counts binary, k1 binary, own binary, begins binary, holders binary, ranks binary, tokens binary"
 
 
+def _held(h: np.ndarray, times: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The rank of each of a bucket's entries; a range of hashes at a time, so that sorting needs little beside the entries."""
+    rank = np.empty(len(h), np.uint8)
+    parts = max(1, -(-len(h) // SORTED))
+    edges = [low + (high - low) * i // parts for i in range(parts)]
+    for i, edge in enumerate(edges):
+        inside = h >= np.uint64(edge) if i else np.ones(len(h), bool)
+        if i + 1 < parts:
+            inside &= h < np.uint64(edges[i + 1])
+        at = np.flatnonzero(inside)
+        if not len(at):
+            continue
+        x = h[at]
+        order = np.argsort(x, kind="stable")
+        x, at = x[order], at[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        held = np.add.reduceat(times[at], first, dtype=np.int64)
+        rank[at] = np.repeat(np.minimum(255, np.floor(8 * np.log2(held))).astype(np.uint8), np.diff(np.append(first, len(x))))
+    return rank
+
+
 def _ranked(key, table):
     """One bucket: the rank of each shingle asked for, 0 for those that one set holds, and those of several sets."""
-    asked = [unsqueeze(x) for x in table.column("hashes").to_pylist()]
-    h, times = np.concatenate(asked), np.concatenate([inflate(x) for x in table.column("times").to_pylist()]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
-    held = np.add.reduceat(times[order], first) if len(h) else times
-    rank = np.empty(len(h), np.uint8)
-    rank[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(held))).astype(np.uint8), np.diff(np.append(first, len(h))))
-    ranks = np.split(rank, np.cumsum([len(x) for x in asked])[:-1])
-    tokens = [squeeze(x[r > 0]) for x, r in zip(asked, ranks, strict=True)]
-    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([deflate(r) for r in ranks], pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "bucket", "ranks", "tokens"])
+    times = [inflate(x.as_py()) for x in table.column("times")]
+    at = np.append(0, np.cumsum([len(x) for x in times]))
+    times = np.concatenate(times)
+    h = np.empty(len(times), np.uint64)
+    for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), table.column("hashes"), strict=True):
+        h[s:e] = unsqueeze(x.as_py())
+    rank = _held(h, times, int(h.min()), int(h.max()) + 1) if len(h) else np.zeros(0, np.uint8)
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    ranks = [deflate(rank[s:e]) for s, e in spans]
+    tokens = [squeeze(h[s:e][rank[s:e] > 0]) for s, e in spans]
+    del h, rank, times
+    release()
+    return pa.table([table.column("chunk").combine_chunks(), pa.array([key[0].as_py()] * len(spans), pa.int64()), pa.array(ranks, pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "bucket", "ranks", "tokens"])
 
 
 def _dead(batches):
@@ -355,14 +384,14 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
     ranks = None
     for part in range(ROUNDS):
         asked = packed.select("chunk", "hashes").mapInArrow(_asked(buckets, part, ROUNDS), "bucket long, chunk long, hashes binary, times binary")
-        told = scratch.table(asked.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary, tokens binary"), f"ranks{part}")
+        told = scratch.table(asked.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_ranked, "chunk long, bucket long, ranks binary, tokens binary"), f"ranks{part}", rows=1, batch=1 << 20)
         ranks = told if ranks is None else ranks.unionByName(told)
     gone = lookup(known.where("own"), classes, key, "copies", rows, "inner").where("doc_id <> rep").select("chunk", "doc_id", "k1").mapInArrow(_dead, "chunk long, docs binary, k1 binary")
     columns = _ROW.split(", ")
     row = lambda df, kind, **given: df.select(*[(F.lit(kind) if c.split()[0] == "kind" else given.get(c.split()[0], F.lit(None))).cast(c.split()[1]).alias(c.split()[0]) for c in columns])
     c = F.col
     sent = row(packed, 0, **{x: c(x) for x in ("chunk", "docs", "counts", "k1", "own", "begins", "holders")}).unionByName(row(ranks, 1, **{x: c(x) for x in ("chunk", "bucket", "ranks", "tokens")})).unionByName(row(gone, 2, chunk=c("chunk"), docs=c("docs"), k1=c("k1")))
-    sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets")
+    sets = scratch.table(sent.repartition(min(buckets, PARTITIONS), "chunk").groupBy("chunk").applyInArrow(_sets, "doc_id long, n long, members binary, prefix array<long>"), "sets", rows=2, batch=1 << 20)
     scratch.drop("packed", *[f"ranks{part}" for part in range(ROUNDS)])
     settle(docs.sparkSession)
     keyed = scratch.table(_keyed(sets), "keyed")
