@@ -432,6 +432,63 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
+def test_edges_are_tied_within_tasks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from trailspark.llm import components as module
+
+    def roots(edges):
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return {x: root(x) for x in list(parent) if root(x) != x}
+
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (1, 1), (40, 30), (40, 200), (300, 280)):
+        a, b = rng.integers(-n, n, (2, m))
+        node, root = module.tie(a, b)
+        assert len(node) == len(set(node.tolist())) and dict(zip(node.tolist(), root.tolist(), strict=True)) == roots(zip(a.tolist(), b.tolist(), strict=True))
+    # a path, ten edges at a time: parts are tied apart, and what they give ties the same nodes
+    path = [(i + 1, i) for i in rng.permutation(95).tolist()]
+    monkeypatch.setattr(module, "EDGES", 10)
+    parts = [x.to_pylist() for x in module._tied(pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in path[i : i + 5]]) for i in range(0, 95, 5))]
+    assert len(parts) == 10 and roots((r["a"], r["b"]) for x in parts for r in x) == {i: 0 for i in range(1, 96)}
+    # tasks that keep their part of the edges, so that stars have to tie them
+    edges = [(3000 + a, 3000 + b) for a, b in path] + [(int(a), int(b)) for a, b in rng.integers(0, 1500, (1600, 2))] + [(-1, -1)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = module.components(spark.createDataFrame([*edges, (None, 5), (5, None)], "a long, b long").repartition(8)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["root"] for r in got} == roots(edges)
+
+
+def test_join_plans_stay_small(spark, monkeypatch):
+    """The driver holds plans, and threads and buffers for each exchange: no table of the join reads its inputs many times over."""
+    from trailspark.llm import _store
+
+    scans, kept = {}, _store.write
+
+    def counted(df, path, **more):
+        name = path.rsplit("/", 1)[-1]
+        scans[name] = max(scans.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return kept(df, path, **more)
+
+    monkeypatch.setattr(_store, "write", counted)
+    made = spark.createDataFrame([(10 * i + j, " ".join(f"w{i}x{p}" for p in range(30 + j))) for i in range(700) for j in range(3)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(made, tile_docs=2).collect()}
+    assert got == {10 * i + j: 10 * i for i in range(700) for j in range(3)}
+    assert {"links", "round1"} <= set(scans) and max(scans.values()) <= 12, scans
+
+
 def test_extra_columns_repeated_and_null_rows(spark):
     """Clashing extra columns change nothing; repeated rows and null ids give a row each."""
     names = ["score", "hash", "size", "n", "k1", "k2", "spans", "bucket", "kind", "d", "t", "node", "root", "gone", "key", "shard", "place", "toxic", "counts", "start", "hits", "text_key"]

@@ -346,16 +346,17 @@ def _placed(scratch: Scratch, sets: DataFrame, keyed: DataFrame, blocks: DataFra
     return scratch.table(whole.unionByName(cut), "placed")
 
 
-def _tiles(placed: DataFrame, tile_docs: int, tile_shingles: int) -> DataFrame:
+def _tiles(scratch: Scratch, placed: DataFrame, tile_docs: int, tile_shingles: int) -> DataFrame:
     """Rows of tile pairs: (pair, side, doc_id, n, members); side 0: a tile with itself, 1 and 2: two tiles."""
     at = ["mode", "block"]
-    bands = placed.groupBy(*at, "band").agg(F.count("*").alias("docs"), F.sum("held").alias("shingles"))
+    bands = scratch.table(placed.groupBy(*at, "band").agg(F.count("*").alias("docs"), F.sum("held").alias("shingles")), "bands")
     tiles = bands.select(*at, "band", "docs", F.greatest(F.ceil(F.col("docs") / tile_docs), F.ceil(F.col("shingles") / tile_shingles), F.lit(1)).cast("int").alias("tiles"))
     whole = bands.groupBy(*at).agg((F.ceil(F.sum("docs") / tile_docs) <= 1).alias("few"), (F.ceil(F.sum("shingles") / tile_shingles) <= 1).alias("light")).select(*at, (F.col("few") & F.col("light")).alias("one"))
     b = F.col("band")
     near = tiles.join(tiles.select(F.col("mode").alias("x_mode"), F.col("block").alias("x_block"), (F.col("band") - 1).alias("x_band"), F.col("tiles").alias("above")), (F.col("mode") == F.col("x_mode")) & (F.col("block") == F.col("x_block")) & (b == F.col("x_band")), "left").select(*at, "band", "docs", "tiles", F.coalesce("above", F.lit(0)).alias("above"))
     near = near.join(tiles.select(F.col("mode").alias("y_mode"), F.col("block").alias("y_block"), (F.col("band") + 1).alias("y_band"), F.col("tiles").alias("below")), (F.col("mode") == F.col("y_mode")) & (F.col("block") == F.col("y_block")) & (b == F.col("y_band")), "left").select(*at, "band", "docs", "tiles", "above", F.coalesce("below", F.lit(0)).alias("below"))
-    plan = near.join(whole, at).withColumnsRenamed({"mode": "p_mode", "block": "p_block", "band": "p_band"})
+    # a table, as the lookup reads it three times: its joins would stand in the plan as often
+    plan = scratch.table(near.join(whole, at).withColumnsRenamed({"mode": "p_mode", "block": "p_block", "band": "p_band"}), "plan")
     dealt = lookup(placed, plan, {"mode": "p_mode", "block": "p_block", "band": "p_band"}, "docs", placed.count(), "inner")
     t = F.pmod(F.xxhash64("doc_id", "n"), F.col("tiles")).cast("int")
     pair = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -396,14 +397,14 @@ def jaccard_components(docs: DataFrame, k: int = K, bucket: int = BUCKET, tile_d
     settle(docs.sparkSession)
     keyed = scratch.table(_keyed(sets), "keyed")
     placed = _placed(scratch, sets, keyed, _blocks(scratch, keyed), tile_docs)
-    linked = _tiles(placed, tile_docs, tile_shingles).groupBy("mode", "block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
+    linked = _tiles(scratch, placed, tile_docs, tile_shingles).groupBy("mode", "block", "low", "high", "i", "j").applyInArrow(_verify, "a long, b long")
     # rows of one id tie the classes of their sets
     several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("s"))
     if not several.isEmpty():
         tied = lookup(known, classes, key, "copies", rows, "inner").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct().join(several, F.col("a") == F.col("s"), "left_semi")
         linked = linked.unionByName(tied)
     roots = components(scratch.table(linked, "links"))
-    scratch.drop("sets", "placed", "keyed")
+    scratch.drop("sets", "placed", "keyed", "bands", "plan")
     settle(docs.sparkSession)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("rn", "r1", "r2", "copies", F.coalesce("root", "rep").alias("class_root"))
     found = lookup(known, scratch.table(named, "named"), key, "copies", rows, "left").select("doc_id", "n", "class_root")
