@@ -9,7 +9,7 @@ import pytest
 from trailspark.engine import Engine, to_json
 from trailspark.sources import times
 from trailspark.sources.discover import catalogue_path, merge
-from trailspark.sources.formats import InputError, detect
+from trailspark.sources.formats import InputError, decode_array, decode_csv, detect, records
 from trailspark.sources.ingest import Workspace
 from trailspark.sources.jsontext import dumps, loads, minify, normalize, split_path
 from trailspark.sources.manifest import DatasetConfig, Manifest, ManifestError, parse
@@ -217,3 +217,85 @@ def test_rewritten_file_is_loaded_again(spark, tmp_path):
     (tmp_path / "ws" / "catalog.json.half.new").write_text("[{")
     again = Workspace(spark, str(tmp_path / "ws"))
     assert [r["m"] for r in Engine(spark, again.catalog()).compile("T | project m").df.collect()] == ["two"]
+
+
+CSV_TEXT = '\ufeffts,b\r\n1,"two\r\nlines, ""é"""\r2,\n\n3,"\r\n"\n4,z'
+ARRAY_TEXT = ' [{"ts":1,"m":"}, ]é\\""} , 12.5,\r\n{"a":{"b":[1,{}]}}\n,7,null] \n'
+
+
+@pytest.mark.parametrize(("decode", "text", "want"), [(decode_csv, CSV_TEXT, ['{"ts":"1","b":"two\\nlines, \\"é\\""}', '{"ts":"2","b":""}', '{"ts":"3","b":"\\n"}', '{"ts":"4","b":"z"}']), (decode_array, ARRAY_TEXT, ['{"ts":1,"m":"}, ]é\\""}', "12.5", '{"a":{"b":[1,{}]}}', "7", "null"]), (decode_array, ' {"a":1}\r\n\n [2]\r{"é":3}', ['{"a":1}', "[2]", '{"é":3}'])])
+def test_blocks(decode, text, want):
+    """Where a file is cut into blocks does not count."""
+    whole = text.encode()
+    for size in range(1, len(whole) + 1):
+        assert list(decode(whole[at : at + size] for at in range(0, len(whole), size))) == want
+
+
+@pytest.mark.parametrize("text", ["[1,2", "[1,]", "[1 2]", "[1] 2", "[1,2,", '[{"a":1', "[", "[1]]", "[tru]", '[{"a":1}}]'])
+def test_array_rejects(text):
+    for size in (1, 3, 100):
+        with pytest.raises(ValueError):
+            list(decode_array(text.encode()[at : at + size] for at in range(0, len(text), size)))
+
+
+@pytest.mark.parametrize("decode", [decode_csv, decode_array])
+def test_files_are_streamed(decode):
+    """A decoder holds a block or two of a file, however long it is, and gives up on a record without end."""
+    taken = 0
+
+    def blocks(start, again):
+        nonlocal taken
+        yield start
+        while True:
+            taken += 1
+            yield again
+
+    made = decode(blocks(b"ts,b\n", b"1,x\n" * 1000) if decode is decode_csv else blocks(b"[0", b',{"ts":1}' * 1000))
+    for _ in range(50_000):
+        next(made)
+    assert taken <= 52
+    endless = decode(blocks(b"ts,b\n" if decode is decode_csv else b'["', b"x" * (1 << 20)))
+    taken = 0
+    with pytest.raises((ValueError, InputError)):
+        next(endless)
+    assert taken < 12
+
+
+@pytest.mark.parametrize("kind", ["array", "csv"])
+def test_splits_of_files(spark, tmp_path, kind):
+    """Whole files are read in order by one task each and split lines are numbered over the files, each by one Python step at most."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want, ends = [], ("", "\n", "\r\n")
+    for f, end in enumerate(ends):
+        rows = [json.dumps({"ts": 1, "n": f"{f * 4000 + i}", "m": "}\n{"}) for i in range(4000)]
+        want += rows
+        text = {"array": "[" + ",".join(rows) + "]", "lines": "\n".join(rows), "csv": "ts,n,m\n" + "\n".join(f'1,{f * 4000 + i},"}}\n{{"' for i in range(4000))}[kind]
+        (folder / f"{f}.txt").write_text(text + end)
+    conf = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = records(spark, str(folder), "csv" if kind == "csv" else "json")
+        got = sorted(tuple(r) for r in df.collect())
+        assert df.rdd.getNumPartitions() == 3 if kind != "lines" else df.rdd.getNumPartitions() > 12
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == (kind != "lines")
+        assert {k: spark.conf.get(k) for k in conf} == conf
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [n for n, _, _ in got] == list(range(1, 12_001)) and not any(e for *_, e in got)
+    assert [json.loads(raw)["n"] for _, raw, _ in got] == [json.loads(raw)["n"] for raw in want]
+
+
+def test_limit_of_a_file(spark, tmp_path):
+    """The input limit is a file's, so that a folder may hold any number of files."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in range(3):
+        (folder / f"{f}.csv").write_text("ts,m\n" + "1,x\n" * 100)
+    wanted = Manifest(datasets=(DatasetConfig("d", "T", str(folder), "csv", "s", "", "ts", "unix"),))
+    assert Workspace(spark, str(tmp_path / "a"), max_input=500).load(wanted) == ["d"]
+    with pytest.raises(InputError, match="400 byte"):
+        Workspace(spark, str(tmp_path / "b"), max_input=400).load(wanted)

@@ -203,10 +203,13 @@ class Workspace:
         if config.table.lower() == "events":
             raise InputError("table Events is reserved")
         spark = self.spark
-        packed = any(name.lower().endswith(".gz") for name, *_ in self.store.files(config.path)) or config.path.lower().endswith(".gz")
-        if not packed and self.store.stat(config.path)[0] > self.max_input or packed and config.format == "json" and expanded_size(spark, config.path) > self.max_input:
+        # names below the path; those that Spark's readers pass over do not count
+        files = [(name, size) for name, size, _ in self.store.files(config.path) if not any(part.startswith(("_", ".")) for part in name.split("/"))]
+        packed = any(name.lower().endswith(".gz") for name, _ in files) or config.path.lower().endswith(".gz")
+        # the limit is a file's: a folder may hold any number of them
+        if not packed and max((size for _, size in files), default=0) > self.max_input or packed and config.format == "json" and expanded_size(spark, config.path) > self.max_input:
             raise InputError(f"expanded input exceeds the {self.max_input} byte limit")
-        if config.format != "json" and self.store.stat(config.path)[0] == 0:
+        if config.format != "json" and min((size for _, size in files), default=0) == 0:
             raise InputError(f"decode {config.format} input: the file is empty")
         raw = records(spark, config.path, config.format, self.max_input)
         fields, paths, sampled = _discover(_sample(raw))
