@@ -261,7 +261,7 @@ def test_files_are_streamed(decode):
     assert taken < 12
 
 
-@pytest.mark.parametrize("kind", ["array", "csv"])
+@pytest.mark.parametrize("kind", ["array", "csv", "lines"])
 def test_splits_of_files(spark, tmp_path, kind):
     """Whole files are read in order by one task each and split lines are numbered over the files, each by one Python step at most."""
     folder = tmp_path / "in"

@@ -78,25 +78,14 @@ def records(spark: SparkSession, path: str, format_: str, limit: int = MAX_INPUT
 
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Lines in file order; blank ones do not count."""
-    lines = spark.read.text(path).select(F.trim(F.translate("value", "\r\t", "  ")).alias("t"), F.trim(F.rtrim(F.col("value"), F.lit("\r"))).alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.where("t <> ''")
-    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = lines.select("raw", "file", "block").mapInArrow(_numbered, "raw string, file string, block long, number long")
+    lines = _session(spark, _SMALL).read.text(path).select(F.trim(F.translate("value", "\r\t", "  ")).alias("t"), F.trim(F.rtrim(F.col("value"), F.lit("\r"))).alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # a task reads each of its splits in order, so a line's number in its split is its distance from the split's first line
+    lines = lines.where("t <> ''").withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # one row a split is sent, so at most the input limit over the split size; no line is shuffled
-    placed = numbered.join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
-    return placed.select((F.col("before") + F.col("number")).cast("long").alias("record_no"), "raw", F.lit(None).cast("string").alias("error"))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with their number in their split; a task reads each of its splits in order."""
-    seen: dict[tuple[str, int], int] = {}
-    for b in batches:
-        number = []
-        for at in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), strict=True):
-            seen[at] = seen.get(at, 0) + 1
-            number.append(seen[at])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=["raw", "file", "block", "number"])
+    placed = lines.join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return placed.select((F.col("before") + F.col("id") - F.col("first") + 1).cast("long").alias("record_no"), "raw", F.lit(None).cast("string").alias("error"))
 
 
 def _session(spark: SparkSession, settings: dict[str, int]) -> SparkSession:

@@ -30,6 +30,8 @@ from .store import Store
 SAMPLE = 5000
 #: Root fields beyond this many are read from the record's text.
 MAX_SHREDDED = 400
+#: Records that a task holds as objects at a time.
+_ROWS = 1024
 _KINDS = {"bool": BOOL, "long": LONG, "real": REAL, "string": STRING, "dynamic": DYNAMIC, "mixed": DYNAMIC, "null": STRING}
 _ARROW = {BOOL: pa.bool_(), LONG: pa.int64(), REAL: pa.float64(), STRING: pa.string(), DYNAMIC: pa.string()}
 
@@ -141,7 +143,7 @@ def _prepare(config: DatasetConfig, roots: dict[str, str], names: dict[str, str]
     def run(batches):
         kinds = [_ARROW[k] for _, k in columns] + [pa.string() for _ in indexed]
         labels = [names[r] for r, _ in columns] + [names[p] for p, _ in indexed]
-        for b in batches:
+        for b in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             out = []
             for n, text, error in zip(b.column("record_no").to_pylist(), b.column("raw").to_pylist(), b.column("error").to_pylist(), strict=True):
                 row = (None, None, None, None, [None] * len(kinds))
