@@ -4,9 +4,11 @@ import gzip
 import json
 import os
 
+import pyarrow as pa
 import pytest
 
 from trailspark.engine import Engine, to_json
+from trailspark.queries import _bracketed
 from trailspark.sources import times
 from trailspark.sources.discover import catalogue_path, merge
 from trailspark.sources.formats import InputError, decode_array, decode_csv, detect, records
@@ -299,3 +301,12 @@ def test_limit_of_a_file(spark, tmp_path):
     assert Workspace(spark, str(tmp_path / "a"), max_input=500).load(wanted) == ["d"]
     with pytest.raises(InputError, match="400 byte"):
         Workspace(spark, str(tmp_path / "b"), max_input=400).load(wanted)
+
+
+@pytest.mark.parametrize("sizes", [[1], [3], [0, 2, 0, 1], [0], []])
+def test_array_is_written_as_it_streams(sizes):
+    """The query's input: a partition becomes one array, and only its last object is held."""
+    objects = iter(range(sum(sizes)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([f'{{"n":{next(objects)}}}' for _ in range(n)], pa.string())], names=["value"]) for n in sizes]
+    text = " ".join(x for b in _bracketed(iter(batches)) for x in b.column(0).to_pylist())
+    assert text == "" if not sum(sizes) else json.loads(text) == [{"n": n} for n in range(sum(sizes))]

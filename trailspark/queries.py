@@ -9,8 +9,9 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +152,19 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/import-{uuid.uuid4().hex}"
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of a partition as an array: the first and last carry the brackets."""
+    held = None
+    for b in batches:
+        lines = []
+        for value in b.column(0).to_pylist():
+            lines += ["[" + value] if held is None else [held + ",", value]
+            held = lines.pop()
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], names=["value"])
+
+
 def _imported(format_: str, query: str, tables: tuple[str, ...] = ("Log",)) -> Callable[[SparkSession, str], DataFrame]:
     """The events table written as files, imported and queried."""
 
@@ -168,8 +182,8 @@ def _imported(format_: str, query: str, tables: tuple[str, ...] = ("Log",)) -> C
             if format_ == "csv":
                 part.write.csv(path, header=True, quoteAll=True, escape='"')
             elif format_ == "array":
-                # one array a file: lines are objects, and the first and last carry the brackets
-                part.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(8))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*part.columns))), ","), F.lit("]")).alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+                # one array of one line a file
+                part.select("event_id", F.to_json(F.struct(*part.columns)).alias("value")).repartition(8, "event_id").select("value").mapInArrow(_bracketed, "value string").write.text(path, lineSep=" ")
             elif format_ == "escaped":
                 # the first letter of the type is written as an escape
                 part.select(F.concat(F.lit('{"ts":"'), "ts", F.lit('","origin":"'), "origin", F.lit('","event_id":'), F.col("event_id").cast("string"), F.lit(',"event_type":"\\u'), F.lpad(F.hex(F.ascii("event_type")), 4, "0"), F.expr("substr(event_type, 2)"), F.lit('"}')).alias("value")).write.text(path)
